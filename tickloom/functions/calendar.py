@@ -14,16 +14,14 @@ from pyspark.sql import functions as F
 def number_sessions(dates: DataFrame, date: str = "date") -> DataFrame:
     """Distinct dates with a 0-based ``session_no``.
 
-    Two levels: rows are numbered inside each year (parallel), then shifted by the count of earlier
-    years, so only one row per year ever meets in a single task.
+    The distinct runs in parallel with map-side combine; only the calendar itself (one entry per day
+    of history) is put in order.
     """
     days = dates.select(F.col(date).alias("date")).where(F.col("date").isNotNull()).distinct()
-    days = days.withColumn("_y", F.year("date"))
-    inside = days.withColumn("_n", F.row_number().over(W.partitionBy("_y").orderBy("date")) - 1)
-    years = days.groupBy("_y").agg(F.count("*").alias("_c"))
-    before = W.orderBy("_y").rowsBetween(W.unboundedPreceding, -1)
-    offsets = years.select("_y", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"))
-    return inside.join(offsets, "_y").select("date", (F.col("_n") + F.col("_off")).cast("long").alias("session_no"))
+    ordered = days.agg(F.array_sort(F.collect_list("date")).alias("_d"))
+    return ordered.select(F.posexplode("_d").alias("session_no", "date")).select(
+        "date", F.col("session_no").cast("long").alias("session_no")
+    )
 
 
 def week_ending_friday(day: Column | str) -> Column:

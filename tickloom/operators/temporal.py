@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tickloom.functions import calendar as cal
 from tickloom.session import checkpointed
 
 
@@ -54,12 +55,42 @@ def asof(left: DataFrame, right: DataFrame, on: list[str], left_on: str, right_o
     return out.select(*left.columns, *cols)
 
 
+def session_map(sessions: DataFrame, side: str) -> DataFrame:
+    """(day, session, session_no) for every calendar day, so any date finds its session by equi-join.
+
+    ``on_or_after``: each session covers the days since the previous one, itself included.
+    ``before``: each session covers the days after it up to the next session, that one included.
+    """
+    other = sessions.select((F.col("session_no") + (1 if side == "on_or_after" else -1)).alias("session_no"),
+                            F.col("date").alias("_o"))
+    joined = sessions.join(other, "session_no", "left")
+    d = F.col("date")
+    if side == "on_or_after":
+        span = F.sequence(F.coalesce(F.date_add("_o", 1), d), d)
+    else:
+        span = F.sequence(F.date_add(d, 1), F.coalesce("_o", F.date_add(d, 1)))
+    return joined.select(F.explode(span).alias("_day"), d.alias("session"), "session_no")
+
+
+def to_session(rows: DataFrame, date: str, sessions: DataFrame, side: str = "on_or_after") -> DataFrame:
+    """Place dated rows on trading sessions; rows with no such session are dropped.
+
+    The map holds one row per calendar day, so the row side is neither sorted nor regrouped.
+    """
+    if side == "on_or_after":
+        edge = sessions.agg(F.min("date")).scalar()
+        day = F.greatest(F.col(date), edge)
+    else:
+        edge = sessions.agg(F.date_add(F.max("date"), 1)).scalar()
+        day = F.least(F.col(date), edge)
+    return rows.withColumn("_day", day).join(session_map(sessions, side), "_day").drop("_day")
+
+
 def redate_flow(flow: DataFrame, trading_days: DataFrame, value: str = "flow") -> DataFrame:
     """Move each flow to the last trading day strictly before its reporting date; collisions add up."""
-    days = trading_days.select("date").distinct()
     daily = flow.groupBy("date").agg(F.sum(value).alias(value))
-    moved = asof(daily, days, [], "date", "date", [], strict=True, how="inner")
-    return moved.groupBy(F.col("matched_on").alias("trade_date")).agg(F.sum(value).alias(value))
+    moved = to_session(daily, "date", cal.number_sessions(trading_days), "before")
+    return moved.groupBy(F.col("session").alias("trade_date")).agg(F.sum(value).alias(value))
 
 
 def close_renames(renames: DataFrame) -> DataFrame:

@@ -14,18 +14,18 @@ from tickloom.sources import adapters as ad
 
 @query("log_returns", f"WITH {BARS}, {SESS}, {LOGRET} SELECT cid, date, {r('ret')} AS ret FROM rets")
 def _(spark, d):
-    return rounded_columns(ser.log_returns(ad.bars(spark, d)))
+    return rounded_columns(ser.log_returns(ad.bars_table(spark, d)))
 
 
 @query("log_returns_own_calendar", f"""WITH {BARS} SELECT * FROM (SELECT cid, date,
   {r("ln(close / lag(close) OVER (PARTITION BY cid ORDER BY date))")} AS ret FROM bars) WHERE ret IS NOT NULL""")
 def _(spark, d):
-    return rounded_columns(ser.log_returns(ad.bars(spark, d), calendar="own"))
+    return rounded_columns(ser.log_returns(ad.bars_table(spark, d), calendar="own"))
 
 
 @query("simple_returns", f"WITH {BARS}, {SESS}, {SIMPLE} SELECT cid, date, {r('ret')} AS ret FROM rets")
 def _(spark, d):
-    return rounded_columns(ser.simple_returns(ad.bars(spark, d)))
+    return rounded_columns(ser.simple_returns(ad.bars_table(spark, d)))
 
 
 @query("traded_gap", f"""WITH {BARS} SELECT cid, date, close, pc AS prev_close,
@@ -66,14 +66,14 @@ def _(spark, d):
     count(ret) OVER w AS n FROM rets WINDOW w AS (PARTITION BY cid ORDER BY date ROWS BETWEEN 20 PRECEDING AND CURRENT ROW))
   WHERE n >= 21""")
 def _(spark, d):
-    return rounded_columns(ser.rolling_vol(ser.log_returns(ad.bars(spark, d))))
+    return rounded_columns(ser.rolling_vol(ser.log_returns(ad.bars_table(spark, d))))
 
 
 @query("trailing_percentile", f"""WITH {BARS}, win AS (SELECT cid, date, close, list(close) OVER
     (PARTITION BY cid ORDER BY date ROWS BETWEEN 755 PRECEDING AND CURRENT ROW) AS l FROM bars)
-  SELECT cid, date, {r('CAST(len(list_filter(l, lambda x: x <= close)) AS DOUBLE) / len(l)')} AS pct FROM win WHERE len(l) >= 252""")
+  SELECT cid, date, CAST(len(list_filter(l, lambda x: x <= close)) AS DOUBLE) / len(l) AS pct FROM win WHERE len(l) >= 252""")
 def _(spark, d):
-    return rounded_columns(ser.trailing_percentile(ad.bars(spark, d), "close"))
+    return ser.trailing_percentile(ad.bars(spark, d), "close")
 
 
 @query("rolling_corr", f"""WITH {BARS6}, {SESS}, {LOGRET}, pr AS (
@@ -81,14 +81,14 @@ def _(spark, d):
   SELECT a, b, date, {r('c', 5)} AS corr FROM (SELECT a, b, date, corr(x, y) OVER w AS c, count(*) OVER w AS n FROM pr
     WINDOW w AS (PARTITION BY a, b ORDER BY date ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)) WHERE n >= 60""")
 def _(spark, d):
-    rets = ser.log_returns(ad.type_bars(spark, d))
+    rets = ser.log_returns(ad.type_bars_table(spark, d))
     return rounded_columns(rel.rolling_corr(rets, rel.all_pairs(list(ad.SERIES6))), 5)
 
 
 @query("pairwise_corr", f"""WITH {BARS6}, {SESS}, {LOGRET} SELECT x.cid AS a, y.cid AS b, {r('corr(x.ret, y.ret)')} AS corr,
   count(*) AS n FROM rets x JOIN rets y USING (date) WHERE x.cid < y.cid GROUP BY 1, 2""")
 def _(spark, d):
-    rets = ser.log_returns(ad.type_bars(spark, d))
+    rets = ser.log_returns(ad.type_bars_table(spark, d))
     return rounded_columns(rel.pair_correlations(rets, rel.all_pairs(list(ad.SERIES6))))
 
 
@@ -103,7 +103,7 @@ def _(spark, d):
     HAVING count(*) = (SELECT count(DISTINCT cid) FROM bars)), kept AS (SELECT * FROM bars WHERE date IN (FROM full_days))
   SELECT cid, date, {r('close / first_value(close) OVER (PARTITION BY cid ORDER BY date) * 100', 4)} AS rebased FROM kept""")
 def _(spark, d):
-    return rounded_columns(ser.rebase(ad.type_bars(spark, d)), 4)
+    return rounded_columns(ser.rebase(ad.type_bars_table(spark, d)), 4)
 
 
 @query("cumulative_flow", f"""WITH {FLOW} SELECT date, {r('flow', 2)} AS flow, {r('sum(flow) OVER (ORDER BY date)', 2)} AS cum FROM flow""")
@@ -122,7 +122,7 @@ def _(spark, d):
     FROM bars JOIN e USING (cid) GROUP BY 1, 2)
   SELECT cid, as_of, {r('last', 4)} AS last, {', '.join(f"{r(f'last / {k} - 1')} AS {k}" for k in ('d1', 'w1', 'm1', 'm3', 'ytd', 'y1'))} FROM m""")
 def _(spark, d):
-    out = ser.period_returns(ad.bars(spark, d))
+    out = ser.period_returns(ad.bars_table(spark, d))
     return rounded_columns(out, 6, ("d1", "w1", "m1", "m3", "ytd", "y1")).withColumn("last", rnd("last", 4))
 
 
@@ -142,7 +142,7 @@ def summary_stats(spark, d):
   SELECT cid, n AS n_rows, a AS first, b AS last,
     {r('100.0 * n / (SELECT count(*) FROM sess WHERE date BETWEEN a AND b)', 1)} AS pct_of_span FROM p""")
 def _(spark, d):
-    return ser.coverage(ad.bars(spark, d))
+    return ser.coverage(ad.bars_table(spark, d))
 
 
 @query("common_window", f"""WITH {BARS}, p AS (SELECT min(date) AS a, max(date) AS b FROM bars GROUP BY cid)
@@ -155,7 +155,7 @@ def _(spark, d):
   {r('avg(CASE WHEN ret = 0 THEN 1.0 ELSE 0.0 END)')} AS zero_share FROM rets WHERE date >= DATE '1996-01-01'
   GROUP BY 1 HAVING count(ret) >= 500""")
 def _(spark, d):
-    return rounded_columns(ser.zero_return_share(ser.log_returns(ad.bars(spark, d)), "1996-01-01"))
+    return rounded_columns(ser.zero_return_share(ser.log_returns(ad.bars_table(spark, d)), "1996-01-01"))
 
 
 DERIVED = "SELECT 'ECO_X_LARGE' AS derived, array('ECONOMY', 'LARGE') AS parts UNION ALL " \
@@ -173,7 +173,7 @@ def _(spark, d):
 @query("clip_lookback", f"""WITH {BARS} SELECT cid, date, close FROM bars
   WHERE date >= (SELECT CAST(max(date) - INTERVAL 36 MONTH AS DATE) FROM bars)""")
 def _(spark, d):
-    return ser.clip_lookback(ad.bars(spark, d).select("cid", "date", "close"), 3)
+    return ser.clip_lookback(ad.bars_table(spark, d).select("cid", "date", "close"), 3)
 
 
 @query("break_gaps", f"""WITH {BARS}, g AS (SELECT cid, date, close,
@@ -271,7 +271,7 @@ LABEL = "CASE WHEN v >= hi THEN 'stress' WHEN v <= lo THEN 'calm' ELSE 'elevated
 @query("regime_insample", f"""WITH {BARS}, cut AS (SELECT cid, quantile_cont(close, 0.5) AS lo, quantile_cont(close, 0.9) AS hi
   FROM bars GROUP BY 1) SELECT cid, date, {LABEL.replace('v ', 'close ')} AS regime FROM bars JOIN cut USING (cid)""")
 def _(spark, d):
-    return ser.regime_labels(ad.bars(spark, d), "close")
+    return ser.regime_labels(ad.bars_table(spark, d), "close")
 
 
 @query("regime_expanding", f"""WITH {BARS6}, cut AS (SELECT cid, date, close AS v, quantile_cont(close, 0.5) OVER w AS lo,
@@ -300,14 +300,14 @@ def _(spark, d):
   {r('stddev_samp(ret) / sqrt(count(ret))')} AS std_err, {r('stddev_samp(ret) * sqrt(252)')} AS ann_vol,
   {r('min(ret)')} AS worst, {r('max(ret)')} AS best FROM rets JOIN reg USING (date) WHERE regime IS NOT NULL GROUP BY 1, 2""")
 def _(spark, d):
-    return rounded_columns(rel.regime_stats(ser.log_returns(ad.type_bars(spark, d)), _market_regime(spark, d)))
+    return rounded_columns(rel.regime_stats(ser.log_returns(ad.type_bars_table(spark, d)), _market_regime(spark, d)))
 
 
 @query("corr_by_regime", f"""WITH {BARS6}, {SESS}, {LOGRET}, {MKTREG} SELECT regime, x.cid AS a, y.cid AS b,
   CASE WHEN count(*) >= 60 THEN {r('corr(x.ret, y.ret)')} END AS corr, count(*) AS n
   FROM rets x JOIN rets y USING (date) JOIN reg USING (date) WHERE x.cid < y.cid AND regime IS NOT NULL GROUP BY 1, 2, 3""")
 def _(spark, d):
-    rets = ser.log_returns(ad.type_bars(spark, d))
+    rets = ser.log_returns(ad.type_bars_table(spark, d))
     pairs = rel.all_pairs(list(ad.SERIES6))
     return rounded_columns(rel.pair_correlations(rets, pairs, by=_market_regime(spark, d), min_obs=60))
 
@@ -320,7 +320,7 @@ PAIRS = f"""{BARS6}, {SESS}, {LOGRET}, {FLOW}, prs AS (SELECT cid, date, flow AS
 
 
 def _flow_pairs(spark, d):
-    rets = ser.log_returns(ad.type_bars(spark, d))
+    rets = ser.log_returns(ad.type_bars_table(spark, d))
     return rets.join(ad.daily_flow(spark, d), "date").select("cid", "date", F.col("flow").alias("x"), F.col("ret").alias("y"))
 
 
@@ -354,7 +354,7 @@ ADV = f"""{BARS}, {SESS}, adv AS (SELECT cid, date, session_no, adv FROM (SELECT
 
 @query("adv126", f"WITH {ADV} SELECT cid, date, {r('adv', 3)} AS adv FROM adv")
 def _(spark, d):
-    return rounded_columns(ser.average_turnover(ad.bars(spark, d)).drop("session_no"), 3)
+    return rounded_columns(ser.average_turnover(ad.bars_table(spark, d)).drop("session_no"), 3)
 
 
 @query("topn_turnover", f"""WITH {BARS} SELECT date, cid, {r('turnover', 2)} AS turnover, rk AS rank FROM (

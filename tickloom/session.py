@@ -56,3 +56,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager=True)
+
+
+def materialized(df: DataFrame, label: str = "table") -> DataFrame:
+    """Write a result that several branches read as a parquet table in shared storage and read it back.
+
+    Besides cutting the lineage this keeps column pruning and gives the planner real sizes, so a join
+    side is broadcast only when its written size is under ``spark.sql.autoBroadcastJoinThreshold``.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, label)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
