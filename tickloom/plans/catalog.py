@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,11 +13,16 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
+def keep_steps(sql: str) -> str:
+    """Ask the reference engine to evaluate every named step once."""
+    return re.sub(r"(\w+) AS \((\s*)SELECT", r"\1 AS MATERIALIZED (\2SELECT", sql)
+
+
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def add(fn: Query) -> Query:
         QUERIES[name] = fn
         if sql is not None:
-            ORACLES[name] = sql
+            ORACLES[name] = keep_steps(sql)
         return fn
 
     return add
