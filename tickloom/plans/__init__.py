@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["series_queries", "action_queries", "index_queries", "strategy_queries", "book_queries"]
+MODULES = ["series_queries", "action_queries", "index_queries", "strategy_queries", "book_queries", "source_queries"]
 
 
 def load_catalog() -> None:
