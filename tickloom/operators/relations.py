@@ -40,7 +40,7 @@ def pair_correlations(series: DataFrame, pairs: list[tuple[str, str]], value: st
     for i, (a, b) in enumerate(pairs):
         x, y = F.col(f"`{a}`"), F.col(f"`{b}`")
         aggs += [F.corr(x, y).alias(f"corr_{i}"), F.count(F.when(x.isNotNull() & y.isNotNull(), 1)).alias(f"n_{i}")]
-    out = _unpivot(wide.groupBy(*group).agg(*aggs), group, pairs, ["corr", "n"])
+    out = _unpivot(wide.groupBy(*group).agg(*aggs), group, pairs, ["corr", "n"]).where("n > 0")
     return out.withColumn("corr", F.when(F.col("n") >= min_obs, F.col("corr")))
 
 

@@ -120,10 +120,10 @@ def _(spark, d):
     max_by(close, date) FILTER (date < date_trunc('year', as_of)) AS ytd,
     max_by(close, date) FILTER (date <= CAST(as_of - INTERVAL 12 MONTH AS DATE)) AS y1
     FROM bars JOIN e USING (cid) GROUP BY 1, 2)
-  SELECT cid, as_of, {r('last', 4)} AS last, {', '.join(f"{r(f'last / {k} - 1')} AS {k}" for k in ('d1', 'w1', 'm1', 'm3', 'ytd', 'y1'))} FROM m""")
+  SELECT cid, as_of, last, {', '.join(f"{r(f'last / {k} - 1')} AS {k}" for k in ('d1', 'w1', 'm1', 'm3', 'ytd', 'y1'))} FROM m""")
 def _(spark, d):
     out = ser.period_returns(ad.bars_table(spark, d))
-    return rounded_columns(out, 6, ("d1", "w1", "m1", "m3", "ytd", "y1")).withColumn("last", rnd("last", 4))
+    return rounded_columns(out, 6, ("d1", "w1", "m1", "m3", "ytd", "y1"))
 
 
 @query("summary_stats", f"""WITH {BARS}, s AS (SELECT cid, date, close, ln(close / lag(close) OVER w) AS ret,
