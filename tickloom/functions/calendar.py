@@ -7,9 +7,10 @@ archive, not by the number of rows in it.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tickloom.session import materialized
+
 
 def number_sessions(dates: DataFrame, date: str = "date") -> DataFrame:
     """Distinct dates with a 0-based ``session_no``.
@@ -24,6 +25,15 @@ def number_sessions(dates: DataFrame, date: str = "date") -> DataFrame:
     )
 
 
+def session_table(dates: DataFrame, date: str = "date") -> DataFrame:
+    """The numbered calendar as a written table.
+
+    Its size is then known to the planner, which broadcasts it while it is under the threshold: rows
+    joined to their session number are not shuffled for it.
+    """
+    return materialized(number_sessions(dates, date), "sessions")
+
+
 def week_ending_friday(day: Column | str) -> Column:
     """The Friday on or after a date; Saturday and Sunday belong to the next Friday."""
     return F.next_day(F.date_sub(day, 1), "FRI")

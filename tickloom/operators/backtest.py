@@ -46,7 +46,7 @@ def target_weight_returns(prices: DataFrame, targets: DataFrame, segment: str =
     if lag < 1:
         raise ValueError("lag must be at least 1: a decision at a close cannot trade at that close")
     spark = prices.sparkSession
-    days = materialized(cal.number_sessions(prices), "sessions")
+    days = cal.session_table(prices)
     n_last = days.agg(F.max("session_no")).scalar()
     w = W.partitionBy("asset").orderBy("session_no")
     step = F.when(F.lag("session_no").over(w) == F.col("session_no") - 1, F.col("close") / F.lag("close").over(w) - 1)

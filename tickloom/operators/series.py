@@ -34,7 +34,7 @@ def log_returns(bars: DataFrame, key: str = "cid", value: str = "close", calenda
     if calendar == "own":
         out = px.where(F.col("_v").isNotNull()).withColumn("ret", F.log(F.col("_v") / F.lag("_v").over(w)))
     else:
-        numbered = px.join(cal.number_sessions(bars), "date")
+        numbered = px.join(cal.session_table(bars), "date")
         consecutive = F.lag("session_no").over(w) == F.col("session_no") - 1
         out = numbered.withColumn("ret", F.when(consecutive, F.log(F.col("_v") / F.lag("_v").over(w))))
     return out.where(F.col("ret").isNotNull()).select(key, "date", "ret")
@@ -43,7 +43,7 @@ def log_returns(bars: DataFrame, key: str = "cid", value: str = "close", calenda
 def simple_returns(bars: DataFrame, key: str = "cid", value: str = "close") -> DataFrame:
     """value / previous panel day's value - 1; null (dropped) where either day is missing."""
     w = by_date(key)
-    numbered = bars.select(key, "date", F.col(value).alias("_v")).join(cal.number_sessions(bars), "date")
+    numbered = bars.select(key, "date", F.col(value).alias("_v")).join(cal.session_table(bars), "date")
     step = F.when(F.lag("session_no").over(w) == F.col("session_no") - 1, F.col("_v") / F.lag("_v").over(w) - 1)
     return numbered.withColumn("ret", step).where(F.col("ret").isNotNull()).select(key, "date", "ret")
 
@@ -179,7 +179,7 @@ def coverage(bars: DataFrame, key: str = "cid", value: str = "close") -> DataFra
     """Rows, first, last and percent of the panel's days in the series' span."""
     seen = bars.where(F.col(value).isNotNull())
     per = seen.groupBy(key).agg(F.count("*").alias("n_rows"), F.min("date").alias("first"), F.max("date").alias("last"))
-    days = cal.number_sessions(bars)
+    days = cal.session_table(bars)
     a = days.select(F.col("date").alias("first"), F.col("session_no").alias("_a"))
     b = days.select(F.col("date").alias("last"), F.col("session_no").alias("_b"))
     span = F.col("_b") - F.col("_a") + 1
@@ -286,7 +286,7 @@ def average_turnover(bars: DataFrame, window: int = 126, min_periods: int = 100,
 
     The frame is a range on the session number, so missing days need no rows.
     """
-    numbered = bars.select(key, "date", "turnover").join(cal.number_sessions(bars), "date")
+    numbered = bars.select(key, "date", "turnover").join(cal.session_table(bars), "date")
     w = W.partitionBy(key).orderBy("session_no").rangeBetween(-(window - 1), 0)
     days = F.least(F.lit(window), F.col("session_no") + 1)
     return numbered.withColumn("adv", F.sum("turnover").over(w) / days).where(

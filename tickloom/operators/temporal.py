@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tickloom.functions import calendar as cal
-from tickloom.session import checkpointed
+from tickloom.session import checkpointed, materialized
 
 
 def asof(left: DataFrame, right: DataFrame, on: list[str], left_on: str, right_on: str, values: list[str],
@@ -83,13 +83,13 @@ def to_session(rows: DataFrame, date: str, sessions: DataFrame, side: str = "on_
     else:
         edge = sessions.agg(F.date_add(F.max("date"), 1)).scalar()
         day = F.least(F.col(date), edge)
-    return rows.withColumn("_day", day).join(session_map(sessions, side), "_day").drop("_day")
+    return rows.withColumn("_day", day).join(materialized(session_map(sessions, side), "days"), "_day").drop("_day")
 
 
 def redate_flow(flow: DataFrame, trading_days: DataFrame, value: str = "flow") -> DataFrame:
     """Move each flow to the last trading day strictly before its reporting date; collisions add up."""
     daily = flow.groupBy("date").agg(F.sum(value).alias(value))
-    moved = to_session(daily, "date", cal.number_sessions(trading_days), "before")
+    moved = to_session(daily, "date", cal.session_table(trading_days), "before")
     return moved.groupBy(F.col("session").alias("trade_date")).agg(F.sum(value).alias(value))
 
 
@@ -112,12 +112,18 @@ def close_renames(renames: DataFrame) -> DataFrame:
 
 
 def canonical_ids(rows: DataFrame, renames: DataFrame, symbol: str = "symbol", date: str = "date") -> DataFrame:
-    """Add ``cid``: the name a symbol's rows trade under today; reused symbols keep themselves."""
+    """Add ``cid``: the name a symbol's rows trade under today; reused symbols keep themselves.
+
+    A symbol's renames (at most one per day) travel as one sorted array, so the row side is only
+    equi-joined on the symbol - never sorted, regrouped or expanded.
+    """
     closed = close_renames(renames)
     # several renames of one symbol on one day: the first one applies
-    first = closed.groupBy("old", "date").agg(F.min_by("cid", "seq").alias("cid")).withColumnRenamed("old", symbol)
-    out = asof(rows, first, [symbol], date, "date", ["cid"], direction="forward", strict=True)
-    return out.withColumn("cid", F.coalesce("cid", F.col(symbol))).drop("matched_on")
+    first = closed.groupBy("old", "date").agg(F.min_by("cid", "seq").alias("cid"))
+    path = first.groupBy(F.col("old").alias(symbol)).agg(F.array_sort(F.collect_list(F.struct("date", "cid"))).alias("_path"))
+    joined = rows.join(path, symbol, "left")
+    later = F.filter("_path", lambda x: x["date"] > F.col(date))
+    return joined.withColumn("cid", F.coalesce(F.get(later, 0)["cid"], F.col(symbol))).drop("_path")
 
 
 def band_on_sessions(events: DataFrame, facts: DataFrame, on: list[str], width: int, event_pos: str, fact_pos: str,

@@ -45,8 +45,7 @@ ACTIONS = f"""{SUBJECTS}, m AS (SELECT *, {_x(_B, 1)} AS b1, {_x(_B, 2)} AS b2,
 
 
 def _parsed(spark, d):
-    subj = ad.subjects(spark, d).withColumn("subject", ps.squeeze("subject"))
-    return ca.parse_actions(subj)
+    return ca.parse_actions(ad.subjects(spark, d))
 
 
 def market_actions(spark, d):

@@ -76,7 +76,7 @@ def _track(group: str) -> str:
 
 def _context(spark, d, adj=None):
     bars = ad.bars_table(spark, d)
-    sessions = materialized(cal.number_sessions(bars), "sessions")
+    sessions = cal.session_table(bars)
     schedule = materialized(ix.review_schedule(sessions, first="1995-01"), "schedule")
     adv = materialized(ix.average_turnover_at(bars, schedule, sessions), "adv")
     adj = bars.select("cid", "date", F.col("close").alias("adj")) if adj is None else adj
@@ -117,7 +117,7 @@ def _(spark, d):
 @query("adv_at_reviews", f"WITH {BARS}, {SESS}, {SCHED}, {ADVAT} SELECT review, cid, {r('avg', 3)} AS avg FROM adv")
 def _(spark, d):
     bars = ad.bars_table(spark, d)
-    sessions = cal.number_sessions(bars)
+    sessions = cal.session_table(bars)
     return rounded_columns(ix.average_turnover_at(bars, ix.review_schedule(bars, first="1995-01"), sessions), 3)
 
 
