@@ -51,6 +51,18 @@ def overlap(left: DataFrame, right: DataFrame, by: list[str], name: str = "symbo
         F.count_if(F.col("r") == 0).alias("left_only"), F.count_if(F.col("l") == 0).alias("right_only"))
 
 
+def holdings_against_list(held: DataFrame, official: DataFrame) -> DataFrame:
+    """(book, overlap, held_not_in_index, in_index_not_held) of every book against one list.
+
+    Only held rows are grouped; what a book lacks is the list's size minus the overlap.
+    """
+    listed = official.select("symbol", F.lit(1).alias("_in")).distinct()
+    size = listed.agg(F.count("*")).scalar()
+    own = held.select("book", "symbol").distinct().join(listed, "symbol", "left")
+    agg = own.groupBy("book").agg(F.count("_in").alias("overlap"), F.count("*").alias("_n"))
+    return agg.select("book", "overlap", (F.col("_n") - F.col("overlap")).alias("held_not_in_index"), (size - F.col("overlap")).alias("in_index_not_held"))
+
+
 def identity(members: DataFrame, whole: str, parts: list[str], name: str = "symbol") -> DataFrame:
     """Does one set equal the union of others: (missing, extra, ok)."""
     tagged = members.where(F.col("index").isin(whole, *parts)).groupBy(name).agg(

@@ -136,7 +136,7 @@ def _(spark, d):
 
 @query("mark_returns", f"""WITH {MARKET} SELECT date, {r('close / first_value(close) OVER (ORDER BY date) - 1')} AS close_ret FROM mkt""")
 def _(spark, d):
-    m = ad.market_close(spark, d).withColumn("book", F.lit("market"))
+    m = materialized(ad.market_close(spark, d).withColumn("book", F.lit("market")), "marks")
     return rounded_columns(ser.since_first(m, ["close"]).select("date", "close_ret"))
 
 
@@ -303,3 +303,22 @@ def _(spark, d):
     have = ad.table(spark, d, "lineitem").select(F.to_date("l_shipdate").alias("date"))
     new = ad.table(spark, d, "orders").select(F.to_date("o_orderdate").alias("date"), F.col("o_orderkey").alias("captured_at"), F.col("o_totalprice").alias("amount"))
     return fl.first_capture(have, new)
+
+
+@query("upcoming_actions", f"""WITH {POS}, {ACTIONS}, h AS (SELECT symbol, max_by(position, date) AS q FROM (SELECT symbol, date, CAST(sum(traded) OVER (PARTITION BY symbol ORDER BY date) AS BIGINT) AS position FROM
+    (SELECT symbol, date, sum(traded) AS traded FROM dpos GROUP BY 1, 2)) GROUP BY 1)
+  SELECT cid AS symbol, ex_date, kind, {r('value')} AS value FROM dacts WHERE ex_date > DATE '2000-06-30' AND cid IN (SELECT symbol FROM h WHERE q > 0)""")
+def _(spark, d):
+    held = ad.ledger(spark, d).groupBy("symbol").agg(F.sum(bk.signed_qty(F.col("side"), F.col("qty"))).alias("q")).where("q > 0")
+    acts = market_actions(spark, d).select(F.col("cid").alias("symbol"), "ex_date", "kind", "value")
+    return rounded_columns(bk.upcoming(acts, held, F.lit("2000-06-30").cast("date")))
+
+
+@query("holdings_vs_list", """WITH h AS (SELECT DISTINCT o_custkey AS book, l_partkey AS symbol FROM orders JOIN lineitem ON l_orderkey = o_orderkey), f AS (SELECT p_partkey AS symbol FROM part WHERE p_retailprice > 950),
+  b AS (SELECT book, count(*) AS held, count(*) FILTER (symbol IN (SELECT symbol FROM f)) AS overlap FROM h GROUP BY 1)
+  SELECT book, overlap, held - overlap AS held_not_in_index, (SELECT count(*) FROM f) - overlap AS in_index_not_held FROM b""")
+def _(spark, d):
+    orders = ad.table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("book"))
+    held = ad.table(spark, d, "lineitem").select("l_orderkey", F.col("l_partkey").alias("symbol")).join(orders, "l_orderkey").select("book", "symbol")
+    official = ad.table(spark, d, "part").where("p_retailprice > 950").select(F.col("p_partkey").alias("symbol"))
+    return mb.holdings_against_list(held, official)

@@ -9,6 +9,7 @@ from tickloom.operators import relations as rel
 from tickloom.operators import series as ser
 from tickloom.operators import temporal as tmp
 from tickloom.plans.catalog import (BARS, BARS6, FLOW, LOGRET, MARKET, SESS, SIMPLE, query, r, rnd, rounded_columns)
+from tickloom.session import materialized
 from tickloom.sources import adapters as ad
 
 
@@ -287,7 +288,8 @@ MKTREG = f"""{MARKET}, mcut AS (SELECT quantile_cont(close, 0.5) AS lo, quantile
 
 
 def _market_regime(spark, d):
-    level = ad.market_close(spark, d).withColumn("cid", F.lit("market"))
+    # read twice (cut-offs and labels), so it is written once
+    level = materialized(ad.market_close(spark, d).withColumn("cid", F.lit("market")), "level")
     return ser.lag_regime(ser.regime_labels(level, "close"))
 
 

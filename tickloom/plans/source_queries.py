@@ -170,6 +170,20 @@ def _(spark, d):
     return rg.drop_unsettled(rows, F.lit("2001-10-14 12:00:00").cast("timestamp")).select("cid", "date")
 
 
+@query("latest_targets", f"""WITH s AS (SELECT p_type AS review, 'S' || p_partkey AS symbol, CAST(p_size AS DOUBLE) AS w FROM part), m AS (SELECT * FROM s WHERE review = (SELECT max(review) FROM s))
+  SELECT symbol, {r('w / (SELECT sum(w) FROM m)', 9)} AS weight FROM m""")
+def _(spark, d):
+    sel = ad.table(spark, d, "part").select(F.col("p_type").alias("review"), F.concat(F.lit("S"), "p_partkey").alias("symbol"), F.col("p_size").cast("double").alias("weight_tilt"))
+    return rounded_columns(nz.latest_targets(sel), 9)
+
+
+@query("eq_closes", "SELECT CAST(l_shipdate AS DATE) AS date, 'S' || l_partkey AS symbol, l_extendedprice AS close FROM lineitem WHERE l_returnflag = 'A'")
+def _(spark, d):
+    series = F.when(F.col("l_returnflag") == "A", " EQ").otherwise("BE")
+    rows = ad.table(spark, d, "lineitem").select(F.to_date("l_shipdate").alias("date"), _padded(F.concat(F.lit("S"), "l_partkey")).alias("symbol"), series.alias("series"), F.col("l_extendedprice").cast("string").alias("close"))
+    return nz.eq_closes(rows)
+
+
 # ---------------------------------------------------------------- stores
 
 VINT = """raw AS (SELECT o_orderpriority AS key, CAST(date_trunc('month', o_orderdate) AS DATE) AS snapshot, o_orderkey AS k, o_totalprice AS v FROM orders)"""
