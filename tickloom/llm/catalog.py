@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from tickloom.llm.bpe import tokenized
 from tickloom.llm.common import table
 from tickloom.llm.exact_dedup import exact_dedup
+from tickloom.llm.langid import identify
 from tickloom.llm.line_dedup import line_dedup
 from tickloom.llm.mixing import mix
+from tickloom.llm.simhash import simhash
 
 QUERIES, ORACLES = {}, {}
 
@@ -47,6 +51,21 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+@query("op5_language_id")
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
+@query("op7_byte_bpe")
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenized(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False)
+
+
+@query("op8_simhash")
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash(table(spark, sf_dir, "documents"))
+
+
 @query("op10_mixing", f"""
 WITH sized AS (SELECT doc_id, source, len(words) AS size,
     0.1::DOUBLE + 0.9::DOUBLE * (CASE WHEN len(words) > 0 THEN len(list_distinct(words))::DOUBLE / len(words) ELSE 0 END) AS weight

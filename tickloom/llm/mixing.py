@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tickloom.llm.common import WHITE, text_of
 from tickloom.session import materialized
 
-CELLS = 65536
+CELLS = 4096
 SHARES = (5, 2, 1)
 
 
