@@ -96,7 +96,7 @@ def keep_distinct(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
     again = verdict.filter(F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
     tagged = docs.withColumn("_digest", digest())
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_sha"))
-    stays = tagged.join(goes, same, "left_anti")
+    stays = tagged.join(goes.hint("shuffle_merge"), same, "left_anti")
     # an id that both stays and goes repeats its row: those few rows are cut to one
     repeated = materialized(goes.join(again.select(F.col("_id").alias("_i"), F.col("_sha").alias("_s")), F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_sha") == F.col("_s")), "left_semi"), "repeated")
     one = tagged.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "_digest"])

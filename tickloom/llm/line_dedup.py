@@ -183,5 +183,6 @@ def line_dedup(docs: DataFrame, least: int = 40, frequent: int = 5, shard_keys:
     lines = materialized(rows.mapInArrow(line_hashes(least), "doc_id long, h1 long, h2 long"), "lines")
     key = F.concat(*[F.lpad(F.hex(c), 16, "0") for c in ("h1", "h2")])
     drops = dropped_lines(lines, frequent, shard_keys).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set(key).alias("drop"))
-    met = rows.join(materialized(drops, "drops"), F.col("doc_id").eqNullSafe(F.col("_id")), "left").select("doc_id", "text", "drop")
+    # texts are dealt out at every size, so that the plan of a small run tells what a large one costs
+    met = rows.join(materialized(drops, "drops").hint("shuffle_merge"), F.col("doc_id").eqNullSafe(F.col("_id")), "left").select("doc_id", "text", "drop")
     return met.mapInArrow(rewritten(least), "doc_id long, n_lines long, n_dropped long, kept_sha256 string, kept_text string")

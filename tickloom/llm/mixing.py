@@ -94,5 +94,5 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     drawn = mix(docs).filter("taken > 0").select(F.col("doc_id").alias("_id"), F.ceil(F.col("taken") / F.col("size")).cast("int").alias("_copies"), F.col("size").alias("_size"))
     drawn = drawn.groupBy("_id", "_size").agg(F.max("_copies").alias("_copies"))
     sized = docs.withColumn("_words", F.size(words_of()).cast("long"))
-    kept = sized.join(drawn, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_words") == F.col("_size")))
+    kept = sized.join(drawn.hint("shuffle_merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_words") == F.col("_size")))
     return kept.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(names)

@@ -211,4 +211,4 @@ def one_of_each(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
     """The documents with the smallest id of their component, with all their columns."""
     found = materialized(simhash(docs, budget), "components")
     goes = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(goes, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    return docs.join(goes.hint("shuffle_merge"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
