@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tickloom.llm.ann import nearest
 from tickloom.llm.bpe import tokenized
 from tickloom.llm.common import table
 from tickloom.llm.exact_dedup import exact_dedup
@@ -12,6 +14,7 @@ from tickloom.llm.langid import identify
 from tickloom.llm.line_dedup import line_dedup
 from tickloom.llm.mixing import mix
 from tickloom.llm.simhash import simhash
+from tickloom.llm.url_filter import judge
 
 QUERIES, ORACLES = {}, {}
 
@@ -51,6 +54,11 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+@query("op4_url_filter")
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "pages"))
+
+
 @query("op5_language_id")
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
@@ -66,6 +74,11 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash(table(spark, sf_dir, "documents"))
 
 
+@query("op9_multi_index_hashing")
+def op9_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 @query("op10_mixing", f"""
 WITH sized AS (SELECT doc_id, source, len(words) AS size,
     0.1::DOUBLE + 0.9::DOUBLE * (CASE WHEN len(words) > 0 THEN len(list_distinct(words))::DOUBLE / len(words) ELSE 0 END) AS weight
