@@ -13,6 +13,7 @@ from tickloom.llm.exact_dedup import exact_dedup
 from tickloom.llm.langid import identify
 from tickloom.llm.line_dedup import line_dedup
 from tickloom.llm.mixing import mix
+from tickloom.llm.pii import sanitise
 from tickloom.llm.simhash import simhash
 from tickloom.llm.url_filter import judge
 
@@ -46,6 +47,11 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
 
 
+@query("op2_pii")
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sanitise(table(spark, sf_dir, "documents")).drop("text_hash")
+
+
 @query("op3_exact_dedup", f"""
 SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = min(doc_id) OVER g AS kept, text_sha256
 FROM (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '{WHITE_SQL}', ' ', 'g')) AS text_sha256 FROM documents)
