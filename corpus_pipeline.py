@@ -2,31 +2,51 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from tickloom.llm.bpe import tokenized
 from tickloom.llm.common import table
 from tickloom.llm.exact_dedup import keep_distinct
+from tickloom.llm.langid import in_known_language
 from tickloom.llm.mixing import mixed_documents
+from tickloom.llm.simhash import one_of_each
 from tickloom.session import materialized
 
 
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language cannot be told go."""
+    return in_known_language(docs)
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts stays."""
     return keep_distinct(docs)
 
 
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of linked fingerprints stays."""
+    return one_of_each(docs)
+
+
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of their source takes them."""
+    """Documents as often as the mix takes them from their source."""
     return mixed_documents(docs)
 
 
-STAGES = [("exact_dedup", exact), ("mixing", mixing)]
-#: Language model statistics, XXH64 and byte-pair merges have no SQL form.
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of the ids and of the decoded text, a row for each document of the mix."""
+    return tokenized(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False)
+
+
+STAGES = [("language_id", language), ("exact_dedup", exact), ("simhash_dedup", near), ("mixing", mixing), ("byte_bpe", tokens)]
+#: Backoff models, XXH64 majorities and byte-pair merges have no SQL form; tests hold the stages against plain replays.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages in turn over the documents table, each written to shared storage and read again."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
+    for name, stage in STAGES[:-1]:
         docs = materialized(stage(spark, docs, sf_dir), name)
-    return docs
+    return STAGES[-1][1](spark, docs, sf_dir)

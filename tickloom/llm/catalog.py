@@ -13,6 +13,7 @@ from tickloom.llm.exact_dedup import exact_dedup
 from tickloom.llm.langid import identify
 from tickloom.llm.line_dedup import line_dedup
 from tickloom.llm.mixing import mix
+from tickloom.llm.passages import passages
 from tickloom.llm.pii import sanitise
 from tickloom.llm.simhash import simhash
 from tickloom.llm.url_filter import judge
@@ -70,6 +71,11 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+@query("op6_compact_windows")
+def op6_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages(table(spark, sf_dir, "documents"))
+
+
 @query("op7_byte_bpe")
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenized(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False)
