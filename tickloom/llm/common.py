@@ -31,3 +31,8 @@ def mix64(x: np.ndarray) -> np.ndarray:
 def rotl64(x: np.ndarray, by: int) -> np.ndarray:
     by %= 64
     return x if by == 0 else (x << np.uint64(by)) | (x >> np.uint64(64 - by))
+
+
+def packed(docs: DataFrame) -> Column:
+    """All columns of a row as one struct, out of the way of working columns; ``row.*`` brings them back."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import WHITE, text_of
+from tickloom.llm.common import WHITE, packed, text_of
 from tickloom.session import materialized
 
 COUNTERS = 1024
@@ -90,14 +90,13 @@ def exact_dedup(docs: DataFrame, counters: int = COUNTERS, text: str = "text", d
 
 def keep_distinct(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
     """The documents that stay, with all their columns. Whole repeated rows collapse to one."""
-    names = docs.columns
     verdict = materialized(exact_dedup(docs, counters), "verdict")
     goes = verdict.filter(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
-    again = verdict.filter(F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    tagged = docs.withColumn("_digest", digest())
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_sha"))
-    stays = tagged.join(goes.hint("shuffle_merge"), same, "left_anti")
+    stays = verdict.filter(F.col("kept")).select(F.col("doc_id").alias("_i"), F.col("text_sha256").alias("_s"))
+    tagged = docs.select(packed(docs), "doc_id", digest().alias("sha"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("sha") == F.col("_sha"))
+    kept = tagged.join(goes.hint("shuffle_merge"), same, "left_anti")
     # an id that both stays and goes repeats its row: those few rows are cut to one
-    repeated = materialized(goes.join(again.select(F.col("_id").alias("_i"), F.col("_sha").alias("_s")), F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_sha") == F.col("_s")), "left_semi"), "repeated")
-    one = tagged.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "_digest"])
-    return stays.unionByName(one).select(names)
+    repeated = materialized(goes.join(stays, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_sha") == F.col("_s")), "left_semi"), "repeated")
+    one = tagged.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "sha"])
+    return kept.unionByName(one).select("row.*")

@@ -19,6 +19,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.llm.common import packed
 from tickloom.session import materialized
 
 SAMPLE_ROWS = 20_000
@@ -180,5 +181,5 @@ def identify(docs: DataFrame, model: Backoff | None = None, **bounds) -> DataFra
 def in_known_language(docs: DataFrame) -> DataFrame:
     """The documents whose language can be told; a null label is filled with the prediction."""
     predict = predictor(docs, fit(docs))
-    found = docs.withColumn("_found", predict(F.col("text"))).filter(F.col("_found.lang_pred") != UNKNOWN)
-    return found.withColumn("lang", F.coalesce("lang", "_found.lang_pred")).select(docs.columns)
+    found = docs.select(packed(docs), predict(F.col("text")).alias("found")).filter(F.col("found.lang_pred") != UNKNOWN)
+    return found.select(*[F.coalesce("row.lang", "found.lang_pred").alias(c) if c == "lang" else F.col(f"row.`{c}`") for c in docs.columns])

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import WHITE, text_of
+from tickloom.llm.common import WHITE, packed, text_of
 from tickloom.session import materialized
 
 CELLS = 4096
@@ -90,9 +90,8 @@ def mix(docs: DataFrame, total_share: float = 1.5, most: float = 2.0, shares: tu
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The documents of the mix with their columns, each as often as it is taken. A document is not cut: the one in
     which a source's budget ends is given whole."""
-    names = docs.columns
-    drawn = mix(docs).filter("taken > 0").select(F.col("doc_id").alias("_id"), F.ceil(F.col("taken") / F.col("size")).cast("int").alias("_copies"), F.col("size").alias("_size"))
-    drawn = drawn.groupBy("_id", "_size").agg(F.max("_copies").alias("_copies"))
-    sized = docs.withColumn("_words", F.size(words_of()).cast("long"))
-    kept = sized.join(drawn.hint("shuffle_merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_words") == F.col("_size")))
-    return kept.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(names)
+    drawn = mix(docs).filter("taken > 0").select(F.col("doc_id").alias("_id"), F.ceil(F.col("taken") / F.col("size")).cast("int").alias("copies"), F.col("size").alias("_size"))
+    drawn = drawn.groupBy("_id", "_size").agg(F.max("copies").alias("copies"))
+    sized = docs.select(packed(docs), "doc_id", F.size(words_of()).cast("long").alias("size"))
+    kept = sized.join(drawn.hint("shuffle_merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("size") == F.col("_size")))
+    return kept.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

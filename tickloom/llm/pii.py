@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import text_of
+from tickloom.llm.common import packed, text_of
 from tickloom.session import materialized
 
 KINDS = ("email", "ip", "card", "phone")
@@ -144,9 +144,9 @@ def sanitise(docs: DataFrame, context: int = CONTEXT, generalise: float = GENERA
 
 def redacted(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """The documents with their spans replaced: ``[EMAIL]`` and so on, ``[TERM]`` for generalised terms, nothing for removed ones."""
-    names = docs.columns
     own = spans.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "spans").dropDuplicates(["_id", "_hash"])
-    met = docs.withColumn("_h", F.xxhash64(text_of())).join(own, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hash")), "left")
+    met = docs.select(packed(docs), "doc_id", "text", F.xxhash64(text_of()).alias("hash"))
+    met = met.join(own, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash")), "left")
     parts = F.transform(F.filter(F.split("spans", ","), lambda s: s != ""), lambda s: F.struct(
         F.split(s, ":")[1].cast("long").alias("start"), F.split(s, ":")[2].cast("long").alias("end"), F.split(s, ":")[0].alias("kind")))
     first = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
@@ -159,4 +159,5 @@ def redacted(docs: DataFrame, spans: DataFrame) -> DataFrame:
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(done, acc["out"]).otherwise(F.concat(acc["out"], kept, mark)).alias("out"))
 
     clean = F.aggregate(F.sort_array(parts), first, step, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
-    return met.withColumn("text", F.when(F.size(parts) > 0, clean).otherwise(F.col("text"))).select(names)
+    clean = F.when(F.size(parts) > 0, clean).otherwise(F.col("text"))
+    return met.select(*[clean.alias(c) if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import text_of
+from tickloom.llm.common import packed, text_of
 from tickloom.llm.components import components
 from tickloom.session import materialized
 
@@ -211,4 +211,5 @@ def one_of_each(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
     """The documents with the smallest id of their component, with all their columns."""
     found = materialized(simhash(docs, budget), "components")
     goes = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(goes.hint("shuffle_merge"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    met = docs.select(packed(docs), F.col("doc_id").cast("long").alias("doc_id"))
+    return met.join(goes.hint("shuffle_merge"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti").select("row.*")
