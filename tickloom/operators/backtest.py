@@ -41,7 +41,7 @@ def target_weight_returns(prices: DataFrame, targets: DataFrame, segment: str =
 
     prices: (asset, date, close); targets: (trial, decision_date, asset, weight) - a decision date
     present for a trial is a full rebalance, an absent one is a hold. adv: (asset, date, adv).
-    A decision at close t executes at close t + lag (lag >= 1) and earns from the next session on.
+    Decisions on days without a session raise. A decision at close t executes at close t + lag (lag >= 1) and earns from the next session on.
     """
     if lag < 1:
         raise ValueError("lag must be at least 1: a decision at a close cannot trade at that close")
@@ -52,6 +52,8 @@ def target_weight_returns(prices: DataFrame, targets: DataFrame, segment: str =
     step = F.when(F.lag("session_no").over(w) == F.col("session_no") - 1, F.col("close") / F.lag("close").over(w) - 1)
     rets = materialized(prices.join(days, "date").select("asset", "session_no", step.alias("ret")).where("ret is not null"), "rets")
 
+    if not targets.join(days.withColumnRenamed("date", "decision_date"), "decision_date", "left_anti").isEmpty():
+        raise ValueError("there are decisions on days without a session")
     goal = targets.join(days.withColumnRenamed("date", "decision_date"), "decision_date")
     goal = goal.withColumn("e", F.col("session_no") + lag).where(F.col("e") <= n_last)
     goal = goal.select("trial", "e", "asset", F.coalesce("weight", F.lit(0.0)).alias("weight"))

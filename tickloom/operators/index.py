@@ -109,12 +109,13 @@ def momentum_scores(adj: DataFrame, schedule: DataFrame, members: DataFrame, ses
 
 def buffered_select(scores: DataFrame, n: int = TOP_N, must_in: int = MUST_IN, must_out: int = MUST_OUT,
                     by: str = "strategy") -> DataFrame:
-    """Top ``n`` with a buffer: ranks up to ``must_in`` always in, holders beyond ``must_out`` always out.
+    """Top ``n`` with a buffer: ranks up to ``must_in`` always in, then holders up to ``must_out``, then the best of
+    the rest until there are ``n``.
 
-    Each review depends on the previous picks, so reviews are folded in order; a strategy's state is
-    at most (reviews x must_out) names, and strategies run in parallel.
+    Each review depends on the previous picks, so reviews are folded in order; a strategy's state is at most
+    (reviews x the larger of n and must_out) names, and strategies run in parallel.
     """
-    top = scores.where(F.col("rank") <= must_out).groupBy(by, "review").agg(
+    top = scores.where(F.col("rank") <= max(n, must_out)).groupBy(by, "review").agg(
         F.array_sort(F.collect_list(F.struct("rank", "cid"))).alias("names"))
     ordered = top.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("review", "names"))).alias("reviews"))
     pick = "array<struct<rank:int,cid:string>>"
@@ -123,9 +124,9 @@ def buffered_select(scores: DataFrame, n: int = TOP_N, must_in: int = MUST_IN, m
 
     def step(acc: Column, r: Column) -> Column:
         names, prev = r["names"], acc["prev"]
-        middle = F.slice(names, must_in + 1, must_out - must_in)
-        kept = F.filter(middle, lambda x: F.array_contains(prev, x["cid"]))
-        rest = F.filter(middle, lambda x: ~F.array_contains(prev, x["cid"]))
+        held = lambda x: (x["rank"] <= must_out) & F.array_contains(prev, x["cid"])
+        later = F.filter(names, lambda x: x["rank"] > must_in)
+        kept, rest = F.filter(later, held), F.filter(later, lambda x: ~held(x))
         buffered = F.slice(F.concat(F.slice(names, 1, must_in), kept, rest), 1, n)
         chosen = F.when(F.size(prev) == 0, F.slice(names, 1, n)).otherwise(buffered)
         entry = F.struct(r["review"].alias("review"), chosen.cast(pick).alias("picks"))

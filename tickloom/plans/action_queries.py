@@ -21,26 +21,16 @@ SUBJECTS = """subj AS (SELECT p_brand AS symbol, DATE '1995-01-02' + CAST(p_part
     ELSE 'Consolidation From Rs ' || (p_size % 5 + 1) || ' To Rs ' || (p_size % 5 + 1 + p_size % 4 + 1) END AS raw FROM part),
   sq AS (SELECT symbol, ex_date, size, pid, trim(regexp_replace(raw, '\\s+', ' ', 'g')) AS s FROM subj)"""
 
-N = r"(\d+(?:\.\d+)?)"
-
-
-def _x(pattern: str, i: int) -> str:
-    return f"TRY_CAST(nullif(regexp_extract(s, '{pattern}', {i}, 'i'), '') AS DOUBLE)"
-
-
-_B = r"\bbon(?:us)?\s*[-:]?\s*" + N + r"\s*:\s*" + N
-_S = r"(?:split|sub-?division|spl\b)[^0-9]*?" + N + r"[^0-9]*?to[^0-9]*?" + N
-_C = r"consolidat[^0-9]*?" + N + r"[^0-9]+?to[^0-9]*?" + N
-_D = r"\b(?:div|dividend)\b[^/]*?(?:rs\.?|re\.?|inr)\s*" + N
-ACTIONS = f"""{SUBJECTS}, m AS (SELECT *, {_x(_B, 1)} AS b1, {_x(_B, 2)} AS b2, {_x(_S, 1)} AS s1, {_x(_S, 2)} AS s2,
-    {_x(_C, 1)} AS c1, {_x(_C, 2)} AS c2, regexp_matches(s, '(?i)consolidat[^0-9]*?[0-9]') AS isc FROM sq),
+# what each of the six subjects says, from the numbers that were written into it
+ACTIONS = f"""{SUBJECTS}, p AS (SELECT sq.*, p_type AS t, p_size % 5 + 1 AS a, p_size % 3 + 1 AS b, p_size % 9 + 2 AS x, p_size % 4 + 1 AS more FROM sq JOIN part ON p_partkey = pid),
   acts AS (
-    SELECT symbol, ex_date, size, pid, s, 'bonus' AS kind, b2 / (b1 + b2) AS value FROM m WHERE b1 > 0 AND b2 > 0
-    UNION ALL SELECT symbol, ex_date, size, pid, s, 'consolidation', c2 / c1 FROM m WHERE c1 > 0 AND c2 > c1
-    UNION ALL SELECT symbol, ex_date, size, pid, s, 'split', s2 / s1 FROM m WHERE NOT isc AND s1 > 0 AND s2 > 0 AND s2 < s1
-    UNION ALL SELECT symbol, ex_date, size, pid, s, 'scheme', NULL FROM m WHERE regexp_matches(s, '(?i)scheme\\s+of\\s+arr')
-    UNION ALL SELECT symbol, ex_date, size, pid, s, 'rights', NULL FROM m WHERE regexp_matches(s, '(?i)\\brights?\\b')
-    UNION ALL SELECT symbol, ex_date, size, pid, s, 'dividend', CAST(unnest(regexp_extract_all(s, '{_D}', 1, 'i')) AS DOUBLE) FROM m),
+    SELECT symbol, ex_date, size, pid, s, 'bonus' AS kind, CAST(b AS DOUBLE) / (a + b) AS value FROM p WHERE t = 'ECONOMY'
+    UNION ALL SELECT symbol, ex_date, size, pid, s, 'bonus', CAST(1 AS DOUBLE) / (a + 1) FROM p WHERE t = 'PROMO'
+    UNION ALL SELECT symbol, ex_date, size, pid, s, 'split', CAST(1 AS DOUBLE) / x FROM p WHERE t = 'LARGE'
+    UNION ALL SELECT symbol, ex_date, size, pid, s, 'consolidation', CAST(a + more AS DOUBLE) / a FROM p WHERE t NOT IN ('ECONOMY', 'LARGE', 'MEDIUM', 'PROMO', 'SMALL')
+    UNION ALL SELECT symbol, ex_date, size, pid, s, unnest(['scheme', 'rights']), NULL FROM p WHERE t = 'SMALL'
+    UNION ALL SELECT symbol, ex_date, size, pid, s, 'dividend', size + 0.5::DOUBLE FROM p WHERE t = 'MEDIUM'
+    UNION ALL SELECT symbol, ex_date, size, pid, s, 'dividend', unnest([CAST(size AS DOUBLE), 1.0::DOUBLE]) FROM p WHERE t = 'PROMO'),
   dacts AS (SELECT symbol AS cid, ex_date, kind, value, min(s) AS subject FROM acts GROUP BY 1, 2, 3, 4)"""
 
 
@@ -82,7 +72,7 @@ def _(spark, d):
 
 
 DAUDIT = f"""{BARS}, {SESS}, {ACTIONS},
-  comb AS (SELECT cid, ex_date, string_agg(DISTINCT kind, '+' ORDER BY kind) AS kind, exp(sum(ln(value))) AS announced,
+  comb AS (SELECT cid, ex_date, string_agg(DISTINCT kind, '+' ORDER BY kind) AS kind, product(value) AS announced,
     substring(string_agg(DISTINCT subject, ' | ' ORDER BY subject), 1, 160) AS subject
     FROM dacts WHERE kind IN ('bonus', 'split', 'consolidation', 'scheme') GROUP BY 1, 2),
   gp AS (SELECT cid, b.date, s.session_no AS no, ln(close / lag(close) OVER (PARTITION BY cid ORDER BY b.date)) AS gap
@@ -126,10 +116,11 @@ def audited(spark, d):
     return ca.audit(ad.bars_table(spark, d).select("cid", "date", "close"), market_actions(spark, d))
 
 
-@query("action_audit", f"""WITH {DAUDIT} SELECT cid, ex_date, kind, {r('announced')} AS announced, subject, status, applied_date,
+@query("action_audit", f"""WITH {DAUDIT} SELECT cid, ex_date, kind, {r('ln(announced)')} AS log_announced, subject, status, applied_date,
   {r('observed')} AS observed, {r('factor')} AS factor FROM aud""")
 def _(spark, d):
-    return rounded_columns(audited(spark, d))
+    # the product is compared in logs: a last digit of it must not decide a rounding
+    return rounded_columns(audited(spark, d).withColumn("announced", F.log("announced")).withColumnRenamed("announced", "log_announced"))
 
 
 @query("audit_status_counts", f"WITH {DAUDIT} SELECT status, count(*) AS n FROM aud GROUP BY 1")

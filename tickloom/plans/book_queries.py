@@ -62,8 +62,10 @@ MARKS = f"""{POS}, {CASH}, {BARS}, {MARKET}, md AS (SELECT max(date) AS date FRO
   hp AS (SELECT p.book, p.symbol, p.date, q.position FROM pr p ASOF JOIN pos q ON p.book = q.book AND p.symbol = q.symbol AND p.date >= q.date),
   wo AS (SELECT h.book, h.date, sum(position * close) AS v, count(*) FILTER (close IS NULL) AS n_missing, coalesce(string_agg(CASE WHEN close IS NULL THEN symbol END, ';' ORDER BY symbol), '') AS missing
     FROM hp h LEFT JOIN bars b ON b.cid = h.symbol AND b.date = h.date WHERE position <> 0 GROUP BY 1, 2),
-  marks AS (SELECT w.book, w.date, CASE WHEN n_missing = 0 THEN v + coalesce(c.c, 0) / 100.0 + 1000000 END AS nav, n_missing, missing
-    FROM wo w ASOF LEFT JOIN cash c ON c.book = w.book AND w.date >= c.date)"""
+  -- a book is marked on every mark day since its first trade, whether it holds anything or not
+  bd AS (SELECT f.book, md.date FROM (SELECT book, min(date) AS f FROM ledger GROUP BY 1) f JOIN md ON md.date >= f.f),
+  marks AS (SELECT bd.book, bd.date, CASE WHEN coalesce(n_missing, 0) = 0 THEN coalesce(v, 0) + c.c / 100.0 + 1000000 END AS nav, coalesce(n_missing, 0) AS n_missing, coalesce(missing, '') AS missing
+    FROM bd ASOF JOIN cash c ON c.book = bd.book AND bd.date >= c.date LEFT JOIN wo w ON w.book = bd.book AND w.date = bd.date)"""
 
 
 def _marks(spark, d):
@@ -111,7 +113,7 @@ def _(spark, d):
   ln AS (SELECT book, symbol, coalesce(q, 0) AS q, w, price FROM tg FULL JOIN q USING (book, symbol) JOIN px USING (symbol)),
   nv AS (SELECT book, sum(q * price) + 50000000 AS nav FROM ln GROUP BY 1)
   SELECT book, symbol, CAST(floor(w * nav * (1 - 2 * 0.001::DOUBLE) / price) - q AS BIGINT) AS delta,
-    CAST(floor(w * nav * (1 - 2 * 0.001::DOUBLE) / price) - q > 0 AS BIGINT) AS side_order, {r('abs(floor(w * nav * (1 - 2 * 0.001::DOUBLE) / price) - q) * price / 2 / nav', 5)} AS turnover
+    CAST(floor(w * nav * (1 - 2 * 0.001::DOUBLE) / price) - q > 0 AS BIGINT) AS side_order, {r('abs(floor(w * nav * (1 - 2 * 0.001::DOUBLE) / price) - q) * price / 2 / nav', 5)} AS turnover, price IS NULL AS unpriced
   FROM ln JOIN nv USING (book) WHERE floor(w * nav * (1 - 2 * 0.001::DOUBLE) / price) - q <> 0""")
 def _(spark, d):
     bars = ad.bars_table(spark, d)

@@ -338,7 +338,7 @@ def _(spark, d):
 
 @query("stream_changes", "WITH x AS (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM events) SELECT CAST(user_id AS VARCHAR) AS k, event_type AS v, count(*) AS n FROM x WHERE p IS NULL OR p <> event_type GROUP BY 1, 2")
 def _(spark, d):
-    out = jobs.run_to_table(jobs.changes_only(jobs.event_stream(spark, d), "user_id", "event_type"), "changes")
+    out = jobs.changes_only(jobs.event_stream(spark, d), "user_id", "event_type")
     return out.groupBy("k", "v").agg(F.count("*").alias("n"))
 
 
@@ -350,7 +350,7 @@ def _(spark, d):
     late = jobs.event_stream(spark, d).where("event_type = 'purchase'").select(F.col("user_id").alias("book"), F.to_date("ts").alias("ex_date"), ad.cents("value").alias("cash"))
 
     def step(batch, i, path):
-        jobs.restate_marks(marks, batch, f"{path}/batch={i}")
+        jobs.restate_marks(marks, batch, i, path)
 
     path = jobs.run_batches(late, "restated", step)
-    return spark.read.parquet(path).groupBy("book", "date").agg(F.sum("nav").alias("cash"))
+    return jobs.restated(spark, path).select("book", "date", F.col("nav").alias("cash"))

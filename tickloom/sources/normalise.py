@@ -89,14 +89,14 @@ def participant_files(files: DataFrame) -> DataFrame:
     own_line = (title != "") & ~F.col("first").contains("Future Index Long")
     known = (title != "") | F.lower("first").rlike(r"^\s*client[_ ]type")
     good = staged.where(known & ((title == "") | (titled == F.col("day"))))
-    body = good.select("day", F.when(own_line, F.slice("lines", 2, 100_000)).otherwise(F.col("lines")).alias("l"))
+    body = good.select("day", F.when(own_line, F.slice("lines", F.lit(2), F.size("lines"))).otherwise(F.col("lines")).alias("l"))
     header = F.transform(F.split(F.col("l")[0], ","), lambda x: F.trim(x))
-    rows = body.select("day", header.alias("h"), F.explode(F.slice("l", 2, 100_000)).alias("line"))
+    rows = body.select("day", header.alias("h"), F.explode(F.slice("l", F.lit(2), F.size("l"))).alias("line"))
     cells = rows.withColumn("v", F.split("line", r",(?=(?:[^\"]*\"[^\"]*\")*[^\"]*$)"))
     labels = F.create_map(*[x for k, v in PARTICIPANT_LABELS.items() for x in (F.lit(k), F.lit(v))])
     named = cells.withColumn("participant", F.element_at(labels, F.upper(F.trim(F.col("v")[0])))).where(F.col("participant").isNotNull())
-    keys = F.slice("h", 2, 1000)
-    numbers = F.transform(F.slice("v", 2, 1000), lambda x: plain_number(F.replace(x, F.lit('"'), F.lit(""))))
+    keys = F.slice("h", F.lit(2), F.size("h"))
+    numbers = F.transform(F.slice("v", F.lit(2), F.size("v")), lambda x: plain_number(F.replace(x, F.lit('"'), F.lit(""))))
     typed = named.select(F.col("day").alias("date"), "participant", F.map_from_arrays(keys, F.slice(numbers, 1, F.size(keys))).alias("m"))
     whole = typed.groupBy("date").agg(F.count("*").alias("_n"), F.count_distinct("participant").alias("_d")).where("_n = 5 AND _d = 5")
     return typed.join(whole.select("date"), "date", "left_semi")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions import calendar as cal
@@ -121,11 +121,16 @@ def gate_trials(trials: DataFrame, registrations: DataFrame, unlocks: DataFrame)
     return judged.where("reason IS NULL").select(*trials.columns), judged.where("reason IS NOT NULL").select(*trials.columns, "reason")
 
 
-def new_registrations(existing: DataFrame, incoming: DataFrame, body: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(accepted with a hash of the body, rejected): an experiment is registered once."""
+def new_registrations(existing: DataFrame, incoming: DataFrame, body: list[str], order: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(accepted with a hash of the body, rejected): an experiment is registered once, by the first in ``order``
+    (then by hash) of a batch that names it more than once."""
     hashed = incoming.withColumn("hash", F.substring(F.sha2(F.to_json(F.struct(*sorted(body))), 256), 1, 12))
-    names = existing.select("experiment").distinct()
-    return hashed.join(names, "experiment", "left_anti"), hashed.join(names, "experiment", "left_semi")
+    names = existing.select("experiment", F.lit(True).alias("_known")).distinct()
+    place = F.row_number().over(Window.partitionBy("experiment").orderBy(*([order] if order else []), "hash"))
+    judged = hashed.withColumn("_place", place).join(names, "experiment", "left")
+    fresh = F.col("_known").isNull() & (F.col("_place") == 1)
+    drop = ["_place", "_known"]
+    return judged.where(fresh).drop(*drop), judged.where(~fresh).drop(*drop)
 
 
 def dev_slice(rows: DataFrame, holdout: Column) -> DataFrame:

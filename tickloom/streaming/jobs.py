@@ -6,12 +6,10 @@ writes to a table, so a restart continues where the last committed batch ended.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tickloom.operators.books import signed_qty
 from tickloom.session import scratch_path
@@ -83,30 +81,52 @@ def latest_state(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_r")).select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest])
 
 
-def changes_only(events: DataFrame, key: str, value: str) -> DataFrame:
-    """Rows whose value differs from the key's previous one: a snapshot is emitted only on change."""
-
-    def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        for pdf in frames:
-            pdf = pdf.sort_values("ts")
-            before = pdf["v"].shift(1)
-            before.iloc[0] = last
-            changed = pdf[(pdf["v"] != before) | before.isna()]
-            last = pdf["v"].iloc[-1]
-            yield pd.DataFrame({"k": changed["k"], "ts": changed["ts"], "v": changed["v"]})
-        state.update((last,))
+def changes_only(events: DataFrame, key: str, value: str, label: str = "changes") -> DataFrame:
+    """(k, ts, v): rows whose value differs from the key's previous one, whatever the order of arrival.
 
+    Each batch lands its rows and finds the changes of the keys that it touched anew from all that has landed, so a
+    late row moves the changes around it. The newest version of a key counts.
+    """
+    spark = events.sparkSession
     rows = events.select(F.col(key).cast("string").alias("k"), "ts", F.col(value).alias("v"))
-    return rows.groupBy("k").applyInPandasWithState(step, "k string, ts timestamp, v string", "last string", "append", GroupStateTimeout.NoTimeout)
 
+    def step(batch: DataFrame, i: int, path: str) -> None:
+        write_batch(batch, i, f"{path}/landed")
+        touched = batch.select("k").distinct()
+        landed = spark.read.schema(f"{LANDED}, batch int").parquet(f"{path}/landed").where(F.col("batch") <= i).join(touched, "k", "left_semi")
+        write_batch(changes(landed), i, f"{path}/changes")
 
-def restate_marks(marks: DataFrame, actions: DataFrame, path: str) -> None:
-    """Apply a batch of late actions to the marks they touch and write the restated rows.
+    path = run_batches(rows, label, step)
+    found = spark.read.schema(f"{LANDED}, batch int").parquet(f"{path}/changes")
+    newest = found.groupBy("k").agg(F.max("batch").alias("batch"))
+    return found.join(newest, ["k", "batch"], "left_semi").drop("batch")
 
-    actions: (book, ex_date, cash). Late data is folded into past marks, never dropped.
-    """
-    late = actions.groupBy("book", "ex_date").agg(F.sum("cash").alias("cash"))
-    hit = marks.join(late, "book").where(F.col("date") >= F.col("ex_date"))
-    delta = hit.groupBy("book", "date").agg(F.sum("cash").alias("_d"))
-    marks.join(delta, ["book", "date"]).select("book", "date", (F.col("nav") + F.col("_d")).alias("nav")).write.mode("overwrite").parquet(path)
+
+LANDED = "k string, ts timestamp, v string"
+
+
+def changes(rows: DataFrame) -> DataFrame:
+    before = F.lag("v").over(Window.partitionBy("k").orderBy("ts", "v"))
+    return rows.select("k", "ts", "v", before.alias("_b")).where("_b IS NULL OR _b <> v").drop("_b")
+
+
+def restate_marks(marks: DataFrame, actions: DataFrame, batch_id: int, path: str) -> None:
+    """Fold a batch of late actions (book, ex_date, cash) into the stored effects and write the marks of the books it
+    touched anew, from the original marks and all effects so far. Replaying a batch changes nothing."""
+    spark = marks.sparkSession
+    write_batch(actions.groupBy("book", "ex_date").agg(F.sum("cash").alias("cash")), batch_id, f"{path}/effects")
+    touched = actions.select("book").distinct()
+    effects = spark.read.parquet(f"{path}/effects").where(F.col("batch") <= batch_id).join(touched, "book", "left_semi")
+    days = effects.groupBy("book", F.col("ex_date").alias("date")).agg(F.sum("cash").alias("cash"))
+    # marks and effects of a book in one order by date: a running sum instead of a join of every mark with every effect
+    both = days.select("book", "date", "cash", F.lit(None).cast(marks.schema["nav"].dataType).alias("nav"), F.lit(False).alias("mark")).unionByName(
+        marks.join(touched, "book", "left_semi").select("book", "date", F.lit(0).cast(days.schema["cash"].dataType).alias("cash"), "nav", F.lit(True).alias("mark")))
+    upto = Window.partitionBy("book").orderBy("date").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    first = F.min(F.when(~F.col("mark"), F.col("date"))).over(Window.partitionBy("book"))
+    fixed = both.select("book", "date", "mark", (F.col("nav") + F.sum("cash").over(upto)).alias("nav"), first.alias("_f"))
+    write_batch(fixed.where("mark AND date >= _f").select("book", "date", "nav"), batch_id, f"{path}/marks")
+
+
+def restated(spark: SparkSession, path: str) -> DataFrame:
+    """The marks in force: the newest version of each."""
+    return latest_state(spark, f"{path}/marks", ["book", "date"])
