@@ -21,28 +21,32 @@ def test_cost_schedule(spark):
 
 
 def replay(px, targets, lag=1, cash=0.0, adv=None, spread=2e-4, capital=1e6, k=0.7):
-    """Day-by-day account of one trial: the recursion the closed form must equal."""
+    """One trial as an account of units and cash: bought and sold at closes, costs paid from the account."""
     n, m = px.shape
-    r = np.zeros((n, m))
-    with np.errstate(invalid="ignore"):
-        r[1:] = px[1:] / px[:-1] - 1
-    r = np.nan_to_num(r)
-    vol = pd.DataFrame(r).rolling(63, min_periods=20).std().shift(1).bfill().to_numpy()
-    dc = (1 + cash) ** (1 / 252) - 1
+    rets = np.nan_to_num(np.diff(px, axis=0, prepend=px[:1]) / np.vstack([px[:1], px[:-1]]))
+    price = np.cumprod(1 + rets, axis=0)  # a day without a price neither gains nor loses, nor does the next
     fee = (costs.EXCHANGE["delivery"] + costs.REGULATOR) * 1.18
-    buy, sell = 0.001 + 0.00015 + fee, 0.001 + fee
-    w, eq, net, gross, turn = np.zeros(m), 1.0, [], [], []
-    todo = {p + lag: t for p, t in targets.items() if p + lag < n}
+    units, purse, worth = np.zeros(m), 1.0, 1.0
+    net, gross, turn = [], [], []
+    orders = {at + lag: goal for at, goal in targets.items()}
     for i in range(n):
-        g = float(w @ r[i]) + (1 - w.sum()) * dc if i else 0.0
-        w, eq, x, t = w * (1 + r[i]) / (1 + g), eq * (1 + g), g, 0.0
-        if i in todo:
-            trade = todo[i] - w
-            cost = trade[trade > 0].sum() * buy - trade[trade < 0].sum() * sell + np.abs(trade).sum() * spread
+        if i:
+            purse *= (1 + cash) ** (1 / 252)
+        value = purse + units @ price[i]
+        gross.append(value / worth - 1)
+        moved = 0.0
+        if i in orders:
+            bought = orders[i] * value - units * price[i]
+            paid = spread * np.abs(bought).sum() + (fee + 0.00115) * bought.clip(min=0).sum() + (fee + 0.001) * (-bought).clip(min=0).sum()
             if adv is not None:
-                cost += np.nansum(np.abs(trade) * k * vol[i] * np.sqrt(np.abs(trade) * eq * capital / adv[i - 1]))
-            x, eq, w, t = (1 + x) * (1 - cost) - 1, eq * (1 - cost), todo[i].copy(), np.abs(trade).sum() / 2
-        net.append(x), gross.append(g), turn.append(t)
+                at = max(i, 20)
+                vol = rets[max(0, at - 63):at].std(axis=0, ddof=1)
+                paid += np.nansum(np.abs(bought) * k * vol * np.sqrt(np.abs(bought) * capital / adv[i - 1]))
+            moved, value = np.abs(bought).sum() / value / 2, value - paid
+            units, purse = orders[i] * value / price[i], value * (1 - orders[i].sum())
+        net.append(value / worth - 1)
+        turn.append(moved)
+        worth = value
     return np.array(gross), np.array(net), np.array(turn)
 
 
