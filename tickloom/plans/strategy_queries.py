@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions import calendar as cal
 from tickloom.functions import costs
+from tickloom.functions import numeric as num
 from tickloom.operators import backtest as bt
 from tickloom.operators import gates, overfit, splits
 from tickloom.operators import series as ser
@@ -70,16 +71,47 @@ def _(spark, d):
     return rounded_columns(m, 5, ("skew", "kurt")).withColumn("sr", rnd("sr"))
 
 
-@query("psr_dsr")
+def _sum_of(coefficients, x: str) -> str:
+    return "(" + " + ".join(f"{c!r}::DOUBLE * pow({x}, {len(coefficients) - 1 - i})" for i, c in enumerate(coefficients)) + ")"
+
+
+def cdf_sql(z: str) -> str:
+    x = f"abs({z})"
+    below = f"exp(-{x} * {x} / 2) * CASE WHEN {x} < {num.TAIL_FROM} THEN {_sum_of(num.CDF_TOP, x)} / {_sum_of(num.CDF_BOTTOM, x)}"
+    below += f" ELSE 1 / ({x} + 1 / ({x} + 2 / ({x} + 3 / ({x} + 4 / ({x} + 0.65))))) / sqrt(2 * pi()) END"
+    return f"(CASE WHEN {z} > 0 THEN 1 - {below} ELSE {below} END)"
+
+
+# the quantile as the limit of a bisection on the distribution function
+QUANTILE = f"""qt AS (SELECT i, p, -40.0::DOUBLE AS lo, 40.0::DOUBLE AS hi, 0 AS k FROM probs UNION ALL
+  SELECT i, p, CASE WHEN {cdf_sql('((lo + hi) / 2)')} < p THEN (lo + hi) / 2 ELSE lo END, CASE WHEN {cdf_sql('((lo + hi) / 2)')} < p THEN hi ELSE (lo + hi) / 2 END, k + 1 FROM qt WHERE k < 60),
+  qv AS (SELECT i, (lo + hi) / 2 AS z FROM qt WHERE k = 60)"""
+MOMENTS = """s0 AS (SELECT trial, count(*) AS n, avg(ret) AS m, stddev_pop(ret) AS sp, stddev_samp(ret) AS sd FROM tr GROUP BY 1),
+  s1 AS (SELECT trial, avg(pow((ret - m) / sp, 3)) AS skew, avg(pow((ret - m) / sp, 4)) AS kurt FROM tr JOIN s0 USING (trial) GROUP BY 1),
+  mo AS (SELECT trial, n, m / sd AS sr, skew, kurt, 1 - skew * (m / sd) + (kurt - 1) / 4 * (m / sd) * (m / sd) AS spread FROM s0 JOIN s1 USING (trial))"""
+
+
+@query("psr_dsr", f"""WITH RECURSIVE {TRIALS}, {MOMENTS}, pool AS (SELECT var_samp(sr) AS var_sr, count(*) AS n_trials FROM mo),
+  probs AS (SELECT 1 AS i, 1 - 1.0::DOUBLE / n_trials AS p FROM pool UNION ALL SELECT 2, 1 - 1 / (n_trials * exp(1.0::DOUBLE)) FROM pool), {QUANTILE},
+  bar AS (SELECT var_sr, n_trials, sqrt(var_sr) * ((1 - 0.5772156649015329::DOUBLE) * (SELECT z FROM qv WHERE i = 1) + 0.5772156649015329::DOUBLE * (SELECT z FROM qv WHERE i = 2)) AS sr0 FROM pool),
+  zs AS (SELECT *, sr * sqrt(n - 1) / sqrt(greatest(spread, 1e-12)) AS z1, (sr - sr0) * sqrt(n - 1) / sqrt(greatest(spread, 1e-12)) AS z2 FROM mo, bar)
+  SELECT trial, n, {r('sr')} AS sr, {r('skew')} AS skew, {r('kurt')} AS kurt, {r(cdf_sql('z1'))} AS psr, {r('sr0')} AS sr0, {r('var_sr')} AS var_sr, n_trials,
+    {r('sr0 * sqrt(252.0)')} AS sr0_ann, {r(cdf_sql('z2'))} AS dsr FROM zs""")
 def _(spark, d):
     m = overfit.psr(overfit.sharpe_moments(_trials(spark, d), ["trial"]), F.lit(0.0))
     return rounded_columns(overfit.deflated_sharpe(m))
 
 
-@query("haircut_mintrl")
+@query("haircut_mintrl", f"""WITH RECURSIVE {TRIALS}, {MOMENTS}, h AS (SELECT *, sr * sqrt(252.0) AS sr_ann, n / 252.0::DOUBLE AS y, sr * sqrt(252.0) * sqrt(n / 252.0::DOUBLE) AS t_stat FROM mo),
+  hp AS (SELECT *, 2 * {cdf_sql('(-abs(t_stat))')} AS p, least(1.0, 6 * 2 * {cdf_sql('(-abs(t_stat))')}) AS p_adj FROM h),
+  probs AS (SELECT trial AS i, p_adj / 2 AS p FROM hp UNION ALL SELECT 'z', 0.95::DOUBLE), {QUANTILE},
+  hc AS (SELECT hp.*, CASE WHEN p_adj < 1 THEN -qv.z ELSE 0 END / sqrt(y) * sign(sr_ann) AS haircut_sr_ann FROM hp JOIN qv ON qv.i = hp.trial)
+  SELECT trial, n, {r('sr')} AS sr, {r('skew')} AS skew, {r('kurt')} AS kurt, {r('sr_ann')} AS sr_ann, {r('t_stat')} AS t_stat, {r('p')} AS p, {r('p_adj')} AS p_adj,
+    {r('haircut_sr_ann')} AS haircut_sr_ann, {r('1 - haircut_sr_ann / sr_ann')} AS haircut_pct, t_stat >= 3 AS passes_t3,
+    CASE WHEN sr > 0 THEN {r("1 + spread * pow((SELECT z FROM qv WHERE i = 'z') / sr, 2)", 3)} END AS min_track_record FROM hc""")
 def _(spark, d):
     m = overfit.haircut_sharpe(overfit.sharpe_moments(_trials(spark, d), ["trial"]), F.lit(6))
-    return rounded_columns(overfit.min_track_record(m, F.lit(0.0)))
+    return rounded_columns(overfit.min_track_record(m, F.lit(0.0)).withColumn("min_track_record", rnd("min_track_record", 3)))
 
 
 def _pbo_sql(blocks: int) -> str:
