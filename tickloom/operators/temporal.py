@@ -114,16 +114,14 @@ def close_renames(renames: DataFrame) -> DataFrame:
 def canonical_ids(rows: DataFrame, renames: DataFrame, symbol: str = "symbol", date: str = "date") -> DataFrame:
     """Add ``cid``: the name a symbol's rows trade under today; reused symbols keep themselves.
 
-    A symbol's renames (at most one per day) travel as one sorted array, so the row side is only
-    equi-joined on the symbol - never sorted, regrouped or expanded.
+    A row takes the first rename after its day, found by the as-of join, so a symbol's renames are never gathered.
     """
     closed = close_renames(renames)
     # several renames of one symbol on one day: the first one applies
-    first = closed.groupBy("old", "date").agg(F.min_by("cid", "seq").alias("cid"))
-    path = first.groupBy(F.col("old").alias(symbol)).agg(F.array_sort(F.collect_list(F.struct("date", "cid"))).alias("_path"))
-    joined = rows.join(path, symbol, "left")
-    later = F.filter("_path", lambda x: x["date"] > F.col(date))
-    return joined.withColumn("cid", F.coalesce(F.get(later, 0)["cid"], F.col(symbol))).drop("_path")
+    first = closed.groupBy("old", "date").agg(F.min_by("cid", "seq").alias("_cid"))
+    first = first.select(F.col("old").alias(symbol), F.col("date").alias(date), "_cid")
+    met = asof(rows, first, [symbol], date, date, ["_cid"], direction="forward", strict=True)
+    return met.withColumn("cid", F.coalesce("_cid", symbol)).drop("_cid", "matched_on")
 
 
 def band_on_sessions(events: DataFrame, facts: DataFrame, on: list[str], width: int, event_pos: str, fact_pos: str,

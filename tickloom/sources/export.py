@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.numeric import rounded
@@ -30,9 +30,10 @@ def decode_series(encoded: DataFrame, columns: list[str], key: str) -> DataFrame
     """The inverse: (key, date, columns)."""
     inner = ", ".join(f"`{c}`: ARRAY<DOUBLE>" for c in columns)
     parsed = encoded.select(key, F.from_json("payload", f"d0 DATE, dd ARRAY<INT>, c STRUCT<{inner}>").alias("p"))
-    offsets = F.aggregate("p.dd", F.array(F.lit(0)), lambda a, g: F.concat(a, F.array(F.element_at(a, -1) + g)))
-    flat = parsed.select(key, "p", F.posexplode(offsets).alias("i", "off"))
-    return flat.select(key, F.date_add(F.col("p.d0"), F.col("off")).alias("date"), *[F.col(f"p.c.{c}")[F.col("i")].alias(c) for c in columns])
+    steps = F.arrays_zip(F.concat(F.array(F.lit(0)), F.col("p.dd")).alias("gap"), *[F.col(f"p.c.{c}").alias(c) for c in columns])
+    flat = parsed.select(key, F.col("p.d0").alias("d0"), F.posexplode(steps).alias("i", "r"))
+    off = F.sum("r.gap").over(Window.partitionBy(key).orderBy("i")).cast("int")
+    return flat.select(key, F.date_add("d0", off).alias("date"), *[F.col(f"r.{c}").alias(c) for c in columns])
 
 
 def table_json(rows: DataFrame, digits: int = 4) -> DataFrame:
