@@ -33,7 +33,7 @@ SPAN = "array<struct<start: bigint, end: bigint, value: string>>"
 
 def found(text: Column, pattern: str) -> Column:
     """Spans (start, end, value) of the matches, in code points: gaps and matches are measured one after the other."""
-    both = rf"(?s)(.*?)({pattern})"
+    both = rf"(?s)\G(.*?)({pattern})"  # \G: what follows the last match is searched once, not from each place
     pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit(both), F.lit(1)).alias("gap"), F.regexp_extract_all(text, F.lit(both), F.lit(2)).alias("hit"))
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(SPAN).alias("spans"))
 
