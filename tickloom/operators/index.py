@@ -332,3 +332,13 @@ def dividend_yield_by_year(total: DataFrame, holdings: DataFrame) -> DataFrame:
     paid = total.select("cid", "date", (F.col("dividend") / F.lag("adj").over(ser.by_date())).alias("_y"))
     return holdings.join(paid.where(F.col("_y") > 0), ["cid", "date"]).groupBy(
         F.year("date").cast("long").alias("year")).agg(F.sum(F.col("weight") * F.col("_y")).alias("dividend_yield"))
+
+
+def turnover_means(changes: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Mean names changed and mean one-way turnover over the reviews."""
+    return changes.groupBy(*(by or [])).agg(F.count("*").alias("reviews"), F.avg("names_changed").alias("names_changed"), F.avg("one_way_turnover").alias("one_way_turnover"))
+
+
+def era_pivot(stats: DataFrame, by: str, eras: list[str], values: tuple[str, ...] = ("gap_pa", "tracking_error")) -> DataFrame:
+    """One row per experiment, one column per era and value."""
+    return stats.groupBy(by).pivot("era", eras).agg(*[F.first(v).alias(v) for v in values])

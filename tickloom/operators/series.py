@@ -256,16 +256,14 @@ def label(v: Column) -> Column:
 
 def regime_labels_expanding(level: DataFrame, value: str, calm_q: float = 0.5, stress_q: float = 0.9,
                             min_periods: int = 252, key: str = "cid") -> DataFrame:
-    """Labels from quantiles of the past only. Sorted-insert quantiles per series (calendar-sized groups)."""
+    """Labels from the quantiles of each series' past, the day included, once it has ``min_periods`` values.
 
-    def cutoffs(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("date")
-        past = pdf["v"].expanding(min_periods)
-        return pdf.assign(lo=past.quantile(calm_q), hi=past.quantile(stress_q)).dropna()
-
-    rows = level.where(F.col(value).isNotNull()).select(F.col(key).alias("key"), "date", F.col(value).alias("v"))
-    cut = rows.groupBy("key").applyInPandas(cutoffs, "key string, date date, v double, lo double, hi double")
-    return cut.select(F.col("key").alias(key), "date", label(F.col("v")).alias("regime"))
+    The frame of a series grows over its calendar, which bounds it.
+    """
+    rows = level.where(F.col(value).isNotNull()).select(key, "date", F.col(value).alias("v"))
+    past = by_date(key).rowsBetween(Window.unboundedPreceding, 0)
+    cut = rows.select(key, "date", "v", F.count("*").over(past).alias("_n"), F.percentile("v", F.lit(calm_q)).over(past).alias("lo"), F.percentile("v", F.lit(stress_q)).over(past).alias("hi"))
+    return cut.where(F.col("_n") >= min_periods).select(key, "date", label(F.col("v")).alias("regime"))
 
 
 def lag_regime(regimes: DataFrame, key: str = "cid") -> DataFrame:

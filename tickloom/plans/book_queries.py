@@ -324,3 +324,12 @@ def _(spark, d):
     held = ad.table(spark, d, "lineitem").select("l_orderkey", F.col("l_partkey").alias("symbol")).join(orders, "l_orderkey").select("book", "symbol")
     official = ad.table(spark, d, "part").where("p_retailprice > 950").select(F.col("p_partkey").alias("symbol"))
     return mb.holdings_against_list(held, official)
+
+
+@query("marks_with_benchmark", f"""WITH {MARKS}, b AS (SELECT m.book, m.date, m.nav, k.close AS benchmark, min_by(k.close, m.date) OVER (PARTITION BY m.book) AS f
+    FROM marks m LEFT JOIN mkt k ON k.date = m.date)
+  SELECT book, date, {r('nav', 1)} AS nav, {r('benchmark')} AS benchmark, {r('nav / 1000000 - 1', 5)} AS growth, {r('benchmark / f - 1')} AS benchmark_growth FROM b""")
+def _(spark, d):
+    marked = _marks(spark, d)[2].select("book", "date", "nav")
+    out = rounded_columns(bk.attach_benchmark(marked, ad.market_close(spark, d), 1_000_000.0))
+    return out.withColumns({"nav": rnd("nav", 1), "growth": rnd("growth", 5)})

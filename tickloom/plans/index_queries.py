@@ -140,17 +140,28 @@ def _(spark, d):
     return rounded_columns(sel.select("review", "effective", "cid", F.col("rank").cast("long").alias("rank"), "score", "weight"))
 
 
-@query("review_turnover", f"""WITH RECURSIVE {WEIGHTS}, o AS (SELECT effective, lag(effective) OVER (ORDER BY effective) AS pe FROM (SELECT DISTINCT effective FROM wts)),
+CHANGES = f"""{WEIGHTS}, o AS (SELECT effective, lag(effective) OVER (ORDER BY effective) AS pe FROM (SELECT DISTINCT effective FROM wts)),
   pr AS (SELECT o.effective, coalesce(a.cid, b.cid) AS cid, coalesce(a.weight, 0) - coalesce(b.weight, 0) AS dw, b.cid IS NULL AS new FROM
     (SELECT o.effective, o.pe, w.cid, w.weight FROM o JOIN wts w ON w.effective = o.effective WHERE pe IS NOT NULL) a
     FULL JOIN (SELECT o.effective, w.cid, w.weight FROM o JOIN wts w ON w.effective = o.pe) b ON a.effective = b.effective AND a.cid = b.cid
-    JOIN o ON o.effective = coalesce(a.effective, b.effective))
+    JOIN o ON o.effective = coalesce(a.effective, b.effective))"""
+
+
+@query("review_turnover", f"""WITH RECURSIVE {CHANGES}
   SELECT effective, count(*) FILTER (new) AS names_changed, {r('0.5 * sum(abs(dw))')} AS one_way_turnover FROM pr GROUP BY 1""")
 def _(spark, d):
     sel = _reviews(_context(spark, d))
     return rounded_columns(ix.review_turnover(sel.select("strategy", "effective", "cid", "weight"), ["strategy"]).drop("strategy"))
 
 
+@query("turnover_means", f"""WITH RECURSIVE {CHANGES}, t AS (SELECT effective, count(*) FILTER (new) AS c, 0.5 * sum(abs(dw)) AS o FROM pr GROUP BY 1)
+  SELECT count(*) AS reviews, {r('avg(c)')} AS names_changed, {r('avg(o)')} AS one_way_turnover FROM t""")
+def _(spark, d):
+    sel = _reviews(_context(spark, d))
+    changes = ix.review_turnover(sel.select("strategy", "effective", "cid", "weight"), ["strategy"])
+    return rounded_columns(ix.turnover_means(changes))
+
+
 @query("drifting_portfolio", f"WITH RECURSIVE {DRIFT} SELECT effective, date, {r('ret')} AS ret FROM port")
 def _(spark, d):
     ctx = _context(spark, d)
@@ -182,7 +193,7 @@ def _(spark, d):
 ERAS = [("early", "1996-07-01", "1998-12-31"), ("late", "1999-01-01", None), ("live", "2000-06-01", None)]
 
 
-@query("gap_by_shift_and_era", f"""WITH RECURSIVE {WEIGHTS}, {SIMPLE}, sh AS (SELECT unnest([-10, -5, 0, 5]) AS shift),
+GAPS = f"""{WEIGHTS}, {SIMPLE}, sh AS (SELECT unnest([-10, -5, 0, 5]) AS shift),
   w2 AS (SELECT shift, t.date AS effective, w.cid, w.weight FROM wts w JOIN sess s ON s.date = w.effective JOIN sh ON true JOIN sess t ON t.session_no = s.session_no + shift),
   sets AS (SELECT shift, effective, coalesce(lead(effective) OVER (PARTITION BY shift ORDER BY effective), (SELECT max(date) FROM rets)) AS e FROM (SELECT DISTINCT shift, effective FROM w2)),
   dd AS (SELECT DISTINCT date FROM rets), held AS (SELECT shift, effective, date FROM sets JOIN dd ON date > effective AND date <= e),
@@ -192,9 +203,10 @@ ERAS = [("early", "1996-07-01", "1998-12-31"), ("late", "1999-01-01", None), ("l
   port AS (SELECT shift, date, v / coalesce(lag(v) OVER (PARTITION BY shift, effective ORDER BY date), 1) - 1 AS ret FROM val),
   {MARKET}, bm AS (SELECT date, close / lag(close) OVER (ORDER BY date) - 1 AS bench FROM mkt),
   eras AS (SELECT * FROM (VALUES {', '.join(f"('{n}', DATE '{a}', DATE '{b or '9999-12-31'}')" for n, a, b in ERAS)}) v(era, a, b)),
-  pb AS (SELECT shift, era, p.date, p.ret AS rep, bench FROM port p JOIN bm USING (date) JOIN eras ON p.date BETWEEN a AND b WHERE bench IS NOT NULL)
-  {_track('CAST(shift AS BIGINT) AS shift, era')} FROM pb GROUP BY 1, 2""")
-def _(spark, d):
+  pb AS (SELECT shift, era, p.date, p.ret AS rep, bench FROM port p JOIN bm USING (date) JOIN eras ON p.date BETWEEN a AND b WHERE bench IS NOT NULL)"""
+
+
+def _gaps(spark, d):
     ctx = _context(spark, d)
     sel = _reviews(ctx).select("effective", "cid", "weight")
     shifted = materialized(ix.shift_effective(sel, ctx["sessions"], [-10, -5, 0, 5]), "shifted")
@@ -204,6 +216,18 @@ def _(spark, d):
     return _rounded_stats(ix.tracking_stats(pairs, ["shift", "era"]))
 
 
+@query("gap_by_shift_and_era", f"""WITH RECURSIVE {GAPS} {_track('CAST(shift AS BIGINT) AS shift, era')} FROM pb GROUP BY 1, 2""")
+def _(spark, d):
+    return _gaps(spark, d)
+
+
+@query("gap_pivot", f"""WITH RECURSIVE {GAPS}, st AS ({_track('CAST(shift AS BIGINT) AS shift, era')} FROM pb GROUP BY 1, 2)
+  SELECT shift, {', '.join(f"max(CASE WHEN era = '{e}' THEN {v} END) AS {e}_{v}" for e, _, _ in ERAS for v in ('gap_pa', 'tracking_error'))} FROM st GROUP BY 1""")
+def _(spark, d):
+    return ix.era_pivot(_gaps(spark, d), "shift", [e for e, _, _ in ERAS])
+
+
+
 SHARES = """shr AS (SELECT p_brand AS cid, CASE WHEN count(*) FILTER (p_size > 45) > 8 THEN CAST(sum(p_size) AS DOUBLE) END AS shares FROM part GROUP BY 1),
   px AS (SELECT review, cid, sum(close) / count(*) AS price FROM sched JOIN sess c ON c.date = cutoff JOIN sess s ON s.session_no BETWEEN c.session_no - 125 AND c.session_no
     JOIN bars b ON b.date = s.date WHERE c.session_no >= 99 GROUP BY 1, 2 HAVING count(*) >= 60),

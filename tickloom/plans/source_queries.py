@@ -354,3 +354,39 @@ def _(spark, d):
 
     path = jobs.run_batches(late, "restated", step)
     return jobs.restated(spark, path).select("book", "date", F.col("nav").alias("cash"))
+
+
+# ---------------------------------------------------------------- period partitions and the trial log
+
+@query("period_store", """SELECT CAST(year(o_orderdate) AS BIGINT) AS part, count(*) AS n, CAST(sum(CASE WHEN year(o_orderdate) = 1996 THEN 2 ELSE 1 END * CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS cents,
+    (SELECT count(DISTINCT o_orderstatus) FROM orders) AS n_keys FROM orders WHERE o_orderstatus = 'F' GROUP BY 1""")
+def _(spark, d):
+    """Rows by key and year; one year of one key is replaced and the others stay."""
+    root = scratch_path(spark, "periods")
+    rows = ad.table(spark, d, "orders").select(F.col("o_orderstatus").alias("key"), F.year("o_orderdate").alias("part"), ad.cents("o_totalprice").alias("cents"))
+    st.write_partition(rows, root, ["key", "part"])
+    st.write_partition(rows.where("key = 'F' AND part = 1996").withColumn("cents", 2 * F.col("cents")), root, ["key", "part"])
+    keys = st.available_keys(st.read_partitions(spark, root)).agg(F.count("*").alias("n_keys"))
+    parts = st.read_partitions(spark, root, "F").groupBy(F.col("part").cast("long").alias("part")).agg(F.count("*").alias("n"), F.sum("cents").alias("cents"))
+    return parts.withColumn("n_keys", keys.scalar())
+
+
+@query("trial_log", f"""WITH t AS (SELECT 'e' || c_nationkey AS experiment, CAST(c_custkey AS BIGINT) AS period, c_acctbal AS sharpe, DATE '1995-01-01' + CAST(c_custkey % 2000 AS INTEGER) AS data_end FROM customer WHERE c_custkey % 3 = 0),
+  a AS (SELECT *, experiment IN (SELECT 'e' || n_nationkey FROM nation WHERE n_regionkey <> 2) AS known, experiment IN (SELECT 'e' || n_nationkey FROM nation WHERE n_regionkey = 1) AS free FROM t)
+  SELECT experiment, period, {r('sharpe', 2)} AS sharpe, data_end FROM a WHERE known AND (data_end < DATE '1999-01-01' OR free)""")
+def _(spark, d):
+    """A log of JSON lines: nations register an experiment, a region unlocks its own, a third of the customers are trials."""
+    nation, customer = ad.table(spark, d, "nation"), ad.table(spark, d, "customer")
+    name = F.concat(F.lit("e"), F.col("n_nationkey").cast("string")).alias("experiment")
+
+    def logged(df, kind, *cols):
+        return df.select(F.to_json(F.struct(F.lit(kind).alias("kind"), *cols)).alias("value"))
+
+    ended = F.date_add(F.lit("1995-01-01").cast("date"), (F.col("c_custkey") % 2000).cast("int")).alias("data_end")
+    trial = [F.concat(F.lit("e"), F.col("c_nationkey").cast("string")).alias("experiment"), ended,
+             F.struct(F.col("c_custkey").alias("period")).alias("params"), F.struct(F.col("c_acctbal").alias("sharpe")).alias("metrics")]
+    lines = logged(nation.where("n_regionkey <> 2"), "registration", name, F.lit("1999-01-01").alias("holdout_start"))
+    lines = lines.unionByName(logged(nation.where("n_regionkey = 1"), "unlock", name)).unionByName(logged(customer.where("c_custkey % 3 = 0"), "trial", *trial))
+    log = st.trial_log(lines, "period bigint", "sharpe double")
+    good, _ = st.gate_trials(log["trials"], log["registrations"], log["unlocks"])
+    return rounded_columns(good.select("experiment", "period", "sharpe", "data_end"), 2)

@@ -141,3 +141,13 @@ def fingerprint(paths: DataFrame, path: str = "path") -> DataFrame:
     """Order-free fingerprint of a file list: count and two sums of hashes, so files combine in any order."""
     h = F.xxhash64(path)
     return paths.distinct().agg(F.count("*").alias("n"), F.bit_xor(h).alias("x"), F.sum(F.pmod(h, F.lit(1_000_000_007))).alias("s"))
+
+
+def trial_log(lines: DataFrame, params: str, metrics: str, line: str = "value") -> dict[str, DataFrame]:
+    """The records of a log of JSON lines by kind: registrations, trials with their nested params and metrics as
+    columns, unlocks. Lines of another kind are left out."""
+    body = f"kind string, experiment string, holdout_start date, data_end date, params struct<{params}>, metrics struct<{metrics}>"
+    rows = lines.select(F.from_json(line, body).alias("r")).select("r.*")
+    of = lambda kind: rows.where(F.col("kind") == kind)
+    return {"registrations": of("registration").select("experiment", "holdout_start"), "unlocks": of("unlock").select("experiment").distinct(),
+            "trials": of("trial").select("experiment", "data_end", "params.*", "metrics.*")}
