@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -261,7 +260,7 @@ def regime_labels_expanding(level: DataFrame, value: str, calm_q: float = 0.5, s
     The frame of a series grows over its calendar, which bounds it.
     """
     rows = level.where(F.col(value).isNotNull()).select(key, "date", F.col(value).alias("v"))
-    past = by_date(key).rowsBetween(Window.unboundedPreceding, 0)
+    past = by_date(key).rowsBetween(W.unboundedPreceding, 0)
     cut = rows.select(key, "date", "v", F.count("*").over(past).alias("_n"), F.percentile("v", F.lit(calm_q)).over(past).alias("lo"), F.percentile("v", F.lit(stress_q)).over(past).alias("hi"))
     return cut.where(F.col("_n") >= min_periods).select(key, "date", label(F.col("v")).alias("regime"))
 
@@ -306,15 +305,3 @@ def sma_signal(bars: DataFrame, lengths: list[int], key: str = "cid", value: str
         ends.select(key, "date", value, F.explode("_s").alias("s")).where(F.col("s.sma").isNotNull())
         .select(key, F.col("s.n").alias("n"), "date", (F.col(value) > F.col("s.sma")).cast("double").alias("on"))
     )
-
-
-def lagged_vol(returns: DataFrame, window: int = 63, min_periods: int = 20, key: str = "cid") -> DataFrame:
-    """Volatility known at the previous session.
-
-    The first sessions are back-filled with the first known value: a look-ahead in the cost estimate
-    only, kept because the cost model is defined that way.
-    """
-    w = by_date(key)
-    vol = full_window(F.stddev_samp("ret"), F.col("ret"), w.rowsBetween(-window, -1), min_periods)
-    filled = F.first("vol", ignorenulls=True).over(w.rowsBetween(0, W.unboundedFollowing))
-    return returns.withColumn("vol", vol).withColumn("vol", filled).select(key, "date", "vol")
