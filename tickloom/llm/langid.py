@@ -162,7 +162,8 @@ def predictor(docs: DataFrame, model: Backoff):
             yield pa.StructArray.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], ["lang_pred", "score"])
 
     run.__annotations__ = {"texts": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(run, "lang_pred string, score double")
+    # else a filter on the prediction makes Spark work it out a second time
+    return F.arrow_udf(run, "lang_pred string, score double").asNondeterministic()
 
 
 def identify(docs: DataFrame, model: Backoff | None = None, **bounds) -> DataFrame:
