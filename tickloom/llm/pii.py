@@ -112,7 +112,8 @@ def disclosing(mentions: DataFrame, docs: DataFrame, text: str, generalise: floa
     of_pair = materialized(of_pair.filter(F.col("n_et") >= support), "pairs")
     words = F.array_distinct(F.split(F.lower(text_of(text)), r"[^\p{L}]++"))
     corpus = docs.select(F.explode(F.filter(words, lambda w: F.length(w) >= 3)).alias("term"))
-    of_term = corpus.join(of_pair.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
+    # counted before the join, so that what is shuffled are the different words of each task, at every size
+    of_term = corpus.groupBy("term").agg(F.count("*").alias("n_t"))
     met = of_pair.join(of_entity, ["kind", "value"]).join(of_term, "term")
     share = F.log(F.col("n_et") * F.lit(float(n)) / (F.col("n_e") * F.col("n_t").cast("double"))) / F.log(F.lit(float(n)) / F.col("n_e"))
     met = met.withColumn("share", F.when(F.col("n_e") < n, share))
