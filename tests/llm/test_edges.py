@@ -130,3 +130,13 @@ def test_pipeline_on_awkward_rows(spark, awkward):
         docs = stage(spark, docs, "")
         assert docs.columns == ["doc_id", "text", "lang", "source"]
     assert {r.doc_id for r in corpus_pipeline.STAGES[-1][1](spark, docs, "").collect()} <= {1, 6, 8, None}
+
+
+def test_passages_of_long_copies_are_whole_spans(spark):
+    words = [f"w{i}" for i in range(3000)]
+    near = words[:1200] + [f"new{i}" for i in range(100)] + words[1300:1500] + [f"fresh{i}" for i in range(1500)]
+    rows = [(1, " ".join(words)), (2, "x y z " + " ".join(words)), (3, " ".join(near))]
+    found = [tuple(r) for r in passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert (2, 3, 1, 0, 3000, 1.0) in found and (1, 0, 2, 3, 3000, 1.0) in found
+    spans = sorted((f[1], f[1] + f[4]) for f in found if f[0] == 3 and f[2] == 1)
+    assert len(spans) == 2 and spans[0][0] == 0 and abs(spans[0][1] - 1200) <= 6 and abs(spans[1][0] - 1300) <= 6 and abs(spans[1][1] - 1500) <= 6
