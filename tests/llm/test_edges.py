@@ -140,3 +140,15 @@ def test_passages_of_long_copies_are_whole_spans(spark):
     assert (2, 3, 1, 0, 3000, 1.0) in found and (1, 0, 2, 3, 3000, 1.0) in found
     spans = sorted((f[1], f[1] + f[4]) for f in found if f[0] == 3 and f[2] == 1)
     assert len(spans) == 2 and spans[0][0] == 0 and abs(spans[0][1] - 1200) <= 6 and abs(spans[1][0] - 1300) <= 6 and abs(spans[1][1] - 1500) <= 6
+
+
+def test_one_of_each_drops_rows_not_ids(spark):
+    words = [f"w{i}" for i in range(400)]
+    near, far = " ".join([*words[:-1], "other"]), [" ".join(f"{c}{i}" for i in range(300)) for c in "abc"]
+    rows = [(1, " ".join(words)), (None, near), (None, far[0]), (2, near), (2, far[1]), (None, far[2]), (None, far[2] + " more")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    of = {(r.doc_id, r.fingerprint): r.component_id for r in simhash(df).collect()}
+    assert sorted(str(c) for c in of.values()) == ["1", "1", "1", "2", "None", "None", "None"]  # the cases are what they should be
+    kept = [(r.doc_id, r.text) for r in one_of_each(df).collect()]
+    assert {(1, rows[0][1]), (None, far[0]), (2, far[1])} <= set(kept) and len(kept) == 4
+    assert sum(t.startswith(far[2]) for _, t in kept) == 1

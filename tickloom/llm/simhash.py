@@ -50,7 +50,7 @@ def _fingerprints(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.fromiter((fingerprint(t.as_py(), words) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64)), batch.column(2)], ["doc_id", "fp", "text_hash"])
 
     return run
 
@@ -190,6 +190,19 @@ def linked(fps: DataFrame, budget: int = BUDGET, unit: int = UNIT, most: int = M
         bits += STEP_BITS
 
 
+def labelled(docs: DataFrame, budget: int, words: int, unit: int, most: int, text: str, doc_id: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp, text_hash) of all rows, and (_fp, least) for each fingerprint: the smallest (none, doc_id, text_hash)
+    of its component, ids before null."""
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text")).select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    rows = materialized(rows.mapInArrow(_fingerprints(words), "doc_id long, fp long, text_hash long"), "fingerprints")
+    own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    fps = materialized(rows.groupBy("fp").agg(F.min(own).alias("least")), "distinct")
+    roots = components(linked(fps.select("fp"), budget, unit, most))
+    of = materialized(fps.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "roots")
+    first = of.groupBy("root").agg(F.min("least").alias("first"))
+    return rows, materialized(of.join(first, "root").select(F.col("fp").alias("_fp"), F.col("first").alias("least")), "labels")
+
+
 def simhash(docs: DataFrame, budget: int = BUDGET, words: int = 3, unit: int = UNIT, most: int = MOST, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hexadecimal digits), component_id (smallest id reachable by links).
 
@@ -197,19 +210,16 @@ def simhash(docs: DataFrame, budget: int = BUDGET, words: int = 3, unit: int = U
     * null ids take part; a component of null ids alone has a null component_id; repeated rows give repeated rows.
     * an empty table gives an empty result; other columns of the input are not looked at.
     """
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text"))
-    rows = materialized(rows.mapInArrow(_fingerprints(words), "doc_id long, fp long"), "fingerprints")
-    fps = materialized(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    roots = components(linked(fps.select("fp"), budget, unit, most))
-    of = materialized(fps.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "roots")
-    ids = of.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = materialized(of.join(ids, "root").select(F.col("fp").alias("_fp"), "component_id"), "labels")
-    return rows.join(labels, F.col("fp") == F.col("_fp")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    rows, labels = labelled(docs, budget, words, unit, most, text, doc_id)
+    return rows.join(labels, F.col("fp") == F.col("_fp")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("least.doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
-    """The documents with the smallest id of their component, with all their columns."""
-    found = materialized(simhash(docs, budget), "components")
-    goes = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    met = docs.select(packed(docs), F.col("doc_id").cast("long").alias("doc_id"))
-    return met.join(goes.hint("shuffle_merge"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti").select("row.*")
+    """One document of each component, with all its columns: that of the smallest id, nulls last, then of the smallest
+    hash of its text. Rows that repeat its id and text stay with it."""
+    rows, labels = labelled(docs, budget, 3, UNIT, MOST, "text", "doc_id")
+    own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    goes = rows.join(labels, F.col("fp") == F.col("_fp")).filter(~own.eqNullSafe(F.col("least"))).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    met = docs.select(packed(docs), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of()).alias("hash"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash"))
+    return met.join(materialized(goes, "goes").hint("shuffle_merge"), same, "left_anti").select("row.*")
