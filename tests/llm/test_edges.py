@@ -1,5 +1,7 @@
 """Awkward rows, repeated rows, empty tables and clashing columns: defined results from every document operator."""
 
+import re
+
 import public_tokenizers
 import pytest
 
@@ -152,3 +154,16 @@ def test_one_of_each_drops_rows_not_ids(spark):
     kept = [(r.doc_id, r.text) for r in one_of_each(df).collect()]
     assert {(1, rows[0][1]), (None, far[0]), (2, far[1])} <= set(kept) and len(kept) == 4
     assert sum(t.startswith(far[2]) for _, t in kept) == 1
+
+
+def test_terms_far_from_their_entity(spark):
+    far = " filler" * 60
+    rows = [(i, f"Zorro opens, {'z@x.org' if i < 6 else 'nobody'} writes{far} and zorroé zorro again" if i < 6 else f"plain text opens, nobody writes{far}") for i in range(40)]
+    rows += [(0, rows[0][1]), (None, rows[0][1]), (50, "xzorro@x.org zorro@x.org")]
+    text = rows[0][1]
+    spans = [(r.doc_id, r.spans) for r in sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    zorro = [m for m in re.finditer(r"(?i)\bzorro\b", text)]
+    want = {f"removed:{m.start()}:{m.end()}" for m in zorro}
+    assert len(zorro) == 2 and zorro[1].start() - text.index("z@x.org") > 400
+    assert all(want <= set(s.split(",")) for i, s in spans if i in (0, 1, 5, None)) and all(s == "" for i, s in spans if i in (6, 39))
+    assert len({s for i, s in spans if i in (0, None)}) == 1
