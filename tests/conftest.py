@@ -1,10 +1,11 @@
-import datetime as dt
 import os
 import sys
 
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+from helpers import days_from  # noqa: E402
+
 from tickloom.session import build_session  # noqa: E402
 
 
@@ -17,14 +18,6 @@ def spark():
     s.stop()
 
 
-def day(text: str) -> dt.date:
-    return dt.date.fromisoformat(text)
-
-
-def days_from(start: str, n: int) -> list[dt.date]:
-    return [day(start) + dt.timedelta(i) for i in range(n)]
-
-
 @pytest.fixture(scope="session")
 def bars(spark):
     """closes, [dates or start] -> (cid, date, close)"""
@@ -36,6 +29,3 @@ def bars(spark):
 
     return make
 
-
-def column(df, name, order="date"):
-    return [r[name] for r in df.orderBy(order).collect()]

@@ -1,5 +1,5 @@
 import pytest
-from conftest import day, days_from
+from helpers import day, days_from
 from pyspark.sql import functions as F
 
 from tickloom.operators import books as bk

@@ -3,7 +3,7 @@
 import datetime as dt
 
 import pytest
-from conftest import day
+from helpers import day
 
 from tickloom.operators import backtest as bt
 from tickloom.operators import books as bk

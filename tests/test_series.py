@@ -3,7 +3,7 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
-from conftest import column, day, days_from
+from helpers import column, day, days_from
 from pyspark.sql import functions as F
 
 from tickloom.functions import calendar as cal

@@ -5,7 +5,7 @@ from statistics import NormalDist
 import numpy as np
 import pandas as pd
 import pytest
-from conftest import day, days_from
+from helpers import day, days_from
 from pyspark.sql import functions as F
 
 from tickloom.functions import costs

@@ -1,7 +1,7 @@
 import random
 
 import pytest
-from conftest import column, day, days_from
+from helpers import column, day, days_from
 
 from tickloom.functions import calendar as cal
 from tickloom.operators import temporal as tmp
