@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tickloom.llm.ann import nearest
 from tickloom.llm.bpe import tokenized
 from tickloom.llm.common import table
+from tickloom.llm.conversations import damaged, repair
 from tickloom.llm.exact_dedup import exact_dedup
 from tickloom.llm.langid import identify
 from tickloom.llm.line_dedup import line_dedup
@@ -109,3 +110,9 @@ SELECT doc_id, size::BIGINT AS size, source, s::BIGINT AS source_size, target, (
 FROM placed""")
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
+
+
+@query("op12_conversation_repair")
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return repair(damaged(conversations), conversations.select("conv_id"))
