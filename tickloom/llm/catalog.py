@@ -18,6 +18,7 @@ from tickloom.llm.passages import passages
 from tickloom.llm.pii import sanitise
 from tickloom.llm.simhash import simhash
 from tickloom.llm.url_filter import judge
+from tickloom.llm.whitening import whiten
 
 QUERIES, ORACLES = {}, {}
 
@@ -116,3 +117,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     conversations = table(spark, sf_dir, "conversations")
     return repair(damaged(conversations), conversations.select("conv_id"))
+
+
+@query("op13_whitening")
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
