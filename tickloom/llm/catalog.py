@@ -14,6 +14,7 @@ from tickloom.llm.exact_dedup import exact_dedup
 from tickloom.llm.langid import identify
 from tickloom.llm.line_dedup import line_dedup
 from tickloom.llm.mixing import mix
+from tickloom.llm.parity_join import parity_join
 from tickloom.llm.passages import passages
 from tickloom.llm.pii import sanitise
 from tickloom.llm.simhash import simhash
@@ -113,6 +114,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+@query("op11_parity_join")
+def op11_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parity_join(table(spark, sf_dir, "documents"))
+
+
 @query("op12_conversation_repair")
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     conversations = table(spark, sf_dir, "conversations")
