@@ -253,16 +253,36 @@ def label(v: Column) -> Column:
     return F.when(v >= F.col("hi"), "stress").when(v <= F.col("lo"), "calm").otherwise("elevated")
 
 
+def expanding_ranks(rows: DataFrame, value: str, key: str = "cid") -> DataFrame:
+    """(key, date, value, n, below, upto): how many values of the series' past, the day included, there are, are smaller,
+    and are not larger.
+
+    The past of a day is a union of blocks of 1, 2, 4, ... days, one for each bit of its number. On each level the days of
+    a pair of blocks are sorted by value once, and a running count of those of the earlier block serves all days of
+    the later one. That is one row per day and level, dealt by block, so a long series spreads over tasks.
+    """
+    numbered = rows.select(key, "date", F.col(value).alias("v")).where("v IS NOT NULL").withColumns({
+        "t": F.row_number().over(by_date(key)) - 1, "equal": F.row_number().over(W.partitionBy(key, "v").orderBy("date")), "last": F.count("*").over(W.partitionBy(key)) - 1})
+    level = F.explode(F.sequence(F.lit(0), F.greatest(F.floor(F.log2(F.greatest("last", F.lit(1)))), F.lit(0)).cast("int")))
+    placed = numbered.select(key, "date", "v", "t", "equal", level.alias("level")).withColumn("half", F.expr("shiftright(t, level)"))
+    placed = placed.withColumn("block", F.shiftright("half", 1)).withColumn("late", F.col("half") % 2).repartition(key, "level", "block")
+    earlier = F.sum(1 - F.col("late")).over(W.partitionBy(key, "level", "block").orderBy("v").rangeBetween(W.unboundedPreceding, 0))
+    counted = placed.select(key, "date", "v", "t", "equal", (F.col("late") * earlier).alias("c"))
+    total = counted.groupBy(key, "date").agg(F.first("v").alias("v"), F.first("t").alias("t"), F.first("equal").alias("equal"), F.sum("c").alias("c"))
+    return total.select(key, "date", F.col("v").alias(value), (F.col("t") + 1).alias("n"), (F.col("c") + 1 - F.col("equal")).alias("below"), (F.col("c") + 1).alias("upto"))
+
+
 def regime_labels_expanding(level: DataFrame, value: str, calm_q: float = 0.5, stress_q: float = 0.9,
                             min_periods: int = 252, key: str = "cid") -> DataFrame:
     """Labels from the quantiles of each series' past, the day included, once it has ``min_periods`` values.
 
-    The frame of a series grows over its calendar, which bounds it.
+    A quantile lies between the order statistics around position q (n - 1); as the day's own value is one of them, its rank
+    alone tells on which side of the quantile it is.
     """
-    rows = level.where(F.col(value).isNotNull()).select(key, "date", F.col(value).alias("v"))
-    past = by_date(key).rowsBetween(W.unboundedPreceding, 0)
-    cut = rows.select(key, "date", "v", F.count("*").over(past).alias("_n"), F.percentile("v", F.lit(calm_q)).over(past).alias("lo"), F.percentile("v", F.lit(stress_q)).over(past).alias("hi"))
-    return cut.where(F.col("_n") >= min_periods).select(key, "date", label(F.col("v")).alias("regime"))
+    ranked = expanding_ranks(level, value, key).where(F.col("n") >= min_periods)
+    stress = F.col("upto") - 1 >= F.ceil(F.lit(stress_q) * (F.col("n") - 1))
+    calm = F.col("below") <= F.floor(F.lit(calm_q) * (F.col("n") - 1))
+    return ranked.select(key, "date", F.when(stress, "stress").when(calm, "calm").otherwise("elevated").alias("regime"))
 
 
 def lag_regime(regimes: DataFrame, key: str = "cid") -> DataFrame:
