@@ -65,6 +65,20 @@ def test_changes_do_not_depend_on_arrival_or_batch_size(spark, tmp_path):
     assert found == [(at[0], "a"), (at[25], "b")]
 
 
+def test_rows_leave_the_state_behind_the_watermark(spark, tmp_path):
+    at = [dt.datetime(2024, 1, 1) + dt.timedelta(days=i) for i in range(12)]
+    rows = [("k", t, v) for t, v in zip(at, ["a", "a", "b", "b", None, None, "c", "a", "a", "b", "b", "a"])]
+    late = [("k", at[5] + dt.timedelta(hours=1), "c"), ("k", at[0], "z"), ("q", at[11], "x")]
+    files = [rows[:4], rows[4:8], late, rows[8:]]
+    watch = []
+    stream = landed(spark, tmp_path, "late", files, "k string, ts timestamp, v string").withWatermark("ts", "3 days")
+    found = sorted(((r["k"], r["ts"], r["v"]) for r in jobs.changes_only(stream, "k", "v", watch=watch).collect()))
+    # the late row of the sixth day is corrected from state: the change to c moves; that of the first day is behind the watermark
+    want = [("k", at[0], "a"), ("k", at[2], "b"), ("k", at[4], None), ("k", late[0][1], "c"), ("k", at[7], "a"), ("k", at[9], "b"), ("k", at[11], "a"), ("q", at[11], "x")]
+    assert found == want
+    assert watch[-1]["stateOperators"][0]["numRowsTotal"] == 2
+
+
 def test_restated_marks_add_up_over_batches(spark, tmp_path):
     days = [day(f"2024-01-0{i}") for i in (1, 2, 3)]
     marks = spark.createDataFrame([(1, d, 100) for d in days] + [(2, days[0], 50)], "book int, date date, nav long")

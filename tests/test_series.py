@@ -131,3 +131,34 @@ def test_adv_counts_untraded_days_as_zero(spark, bars):
     a = spark.createDataFrame([("a", d, 10.0) for d in dates[::2]] + [("b", d, 1.0) for d in dates], "cid string, date date, turnover double")
     last = ser.average_turnover(a).where("cid = 'a'").orderBy(F.desc("date")).first()
     assert last["adv"] == pytest.approx(10.0 * sum(1 for i in range(0, 130, 2) if last["session_no"] - 125 <= i <= last["session_no"]) / 126)
+
+
+def test_pair_sums_over_blocks_equal_a_library(spark):
+    rng = np.random.default_rng(1)
+    days = days_from("2023-12-28", 40)
+    wide = pd.DataFrame(rng.normal(1000, 1, (40, 8)), index=days, columns=[f"k{i}" for i in range(8)])
+    wide = wide.mask(rng.random(wide.shape) < 0.3)
+    wide["flat"] = 7.0
+    rows = [(k, d, float(v)) for k in wide for d, v in wide[k].items() if v == v]
+    df = spark.createDataFrame(rows, "cid string, date date, ret double")
+    found = {(r.a, r.b): (r.n, r["corr"]) for r in rel.pair_correlations(df, block=(3, 7)).collect()}
+    assert set(found) == {(a, b) for a in wide for b in wide if a < b}
+    for (a, b), (n, c) in found.items():
+        both = wide[[a, b]].dropna()
+        assert n == len(both) and (c is None if "flat" in (a, b) else c == pytest.approx(both[a].corr(both[b]), abs=1e-12))
+    asked = spark.createDataFrame([("k5", "k1"), ("k0", "k7"), ("k1", "absent"), ("k2", "k1")], "a string, b string")
+    some = {(r.a, r.b): (r.n, r["corr"]) for r in rel.pair_correlations(df, asked, block=(3, 7)).collect()}
+    assert set(some) == {("k5", "k1"), ("k0", "k7"), ("k2", "k1")}
+    assert all(v == (found[min(p), max(p)][0], pytest.approx(found[min(p), max(p)][1], abs=1e-12)) for p, v in some.items())
+    assert {(r.a, r.b) for r in rel.all_pairs(df).collect()} == set(found)
+    assert rel.pair_correlations(df.limit(0)).collect() == []
+
+
+def test_expanding_labels_equal_a_library(bars):
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 3, 8, 65, 200):
+        v = pd.Series(np.round(rng.normal(10, 2, n), 1), index=days_from("2024-01-01", n))
+        lo, hi = v.expanding(2).quantile(0.5), v.expanding(2).quantile(0.9)
+        want = {d: "stress" if x >= hi[d] else "calm" if x <= lo[d] else "elevated" for d, x in v.items() if lo[d] == lo[d]}
+        found = ser.regime_labels_expanding(bars(list(v)), "close", min_periods=2).collect()
+        assert {r["date"]: r["regime"] for r in found} == want

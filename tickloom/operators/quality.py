@@ -6,16 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tickloom.operators.relations import pair_correlations
+from tickloom.operators.relations import pair_correlations, pair_rows
 
 
-def known_relationships(returns: DataFrame, bounds: list[tuple[str, str, float, float]], min_obs: int = 100) -> DataFrame:
-    """Correlation of listed pairs against expected bounds; too few observations leave the flag null."""
-    pairs = [(a, b) for a, b, _, _ in bounds]
-    corr = pair_correlations(returns, pairs, min_obs=min_obs + 1)
-    rows = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi")) for a, b, lo, hi in bounds])
-    picked = corr.withColumn("_w", F.get(F.filter(rows, lambda x: (x["a"] == F.col("a")) & (x["b"] == F.col("b"))), 0))
-    return picked.select("a", "b", "n", "corr", F.col("corr").between(F.col("_w.lo"), F.col("_w.hi")).alias("ok"))
+def known_relationships(returns: DataFrame, bounds: DataFrame, min_obs: int = 100) -> DataFrame:
+    """Correlation of the pairs of a table (a, b, lo, hi) against its bounds; too few observations leave the flag null."""
+    corr = pair_correlations(returns, bounds.select("a", "b").distinct(), min_obs=min_obs + 1)
+    return bounds.join(corr, ["a", "b"]).select("a", "b", "n", "corr", F.col("corr").between(F.col("lo"), F.col("hi")).alias("ok"))
 
 
 def derived_reconcile(returns: DataFrame, derived: DataFrame, tol: float = 1e-10) -> DataFrame:
@@ -56,11 +53,9 @@ def buy_sell_net(rows: DataFrame, source: str = "source", tol: float = 0.05, str
     return agg.withColumn("severity", F.when(F.col("bad") == 0, "ok").when(F.col(source) == strict_source, "fail").otherwise("warn"))
 
 
-def session_contamination(returns: DataFrame, home: str, others: list[str]) -> DataFrame:
-    """Same-day, prior-day and next-day correlation of one series with each other on their common days."""
-    from tickloom.operators.relations import pair_rows
-
-    rows = pair_rows(returns, [(home, o) for o in others], "ret")
+def session_contamination(returns: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Same-day, prior-day and next-day correlation of a with b on the common days of each pair (a, b)."""
+    rows = pair_rows(returns, pairs, "ret")
     w = W.partitionBy("a", "b").orderBy("date")
     shifted = rows.withColumns({"_p": F.lag("y").over(w), "_n": F.lead("y").over(w)})
     return shifted.groupBy("a", "b").agg(F.corr("x", "y").alias("same_day"), F.corr("x", "_p").alias("prior_day"), F.corr("x", "_n").alias("next_day"))

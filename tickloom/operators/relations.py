@@ -1,62 +1,145 @@
 """Two-series statistics: correlations, regimes, lead-lag with robust errors.
 
-Series are listed explicitly (a registry is small and known), so pairs are columns of one wide,
-date-keyed table. There is no self-join and nothing is emitted per pair per day.
+The keys come from the data and may be many: sums of pairs are products of blocks of keys over stretches of dates,
+and nothing is emitted per pair and day but where that is the answer.
 """
 
 from __future__ import annotations
 
 import math
-from itertools import combinations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tickloom.operators.series import align_wide, full_window
+from tickloom.operators.series import full_window
+from tickloom.session import materialized
 
 
-def all_pairs(keys: list[str]) -> list[tuple[str, str]]:
-    return list(combinations(sorted(keys), 2))
+BLOCK_KEYS, BLOCK_DATES = 64, 512
+SUMS = "n", "x", "y", "xx", "yy", "xy"
 
 
-def _unpivot(agg: DataFrame, by: list[str], pairs: list[tuple[str, str]], stats: list[str]) -> DataFrame:
-    rows = F.array(*[
-        F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), *[F.col(f"{s}_{i}").alias(s) for s in stats])
-        for i, (a, b) in enumerate(pairs)
-    ])
-    return agg.select(*by, F.explode(rows).alias("r")).select(*by, "r.*")
+def all_pairs(keys: DataFrame, key: str = "cid") -> DataFrame:
+    """(a, b): every pair of a table's keys once, a before b.
 
+    The number of pairs is that of the answer; a key meets the keys after it in blocks, not in one task."""
+    spots = keys.select(F.col(key).alias("k")).distinct().withColumn("block", F.pmod(F.xxhash64("k"), F.lit(BLOCK_KEYS)).cast("int"))
+    left = spots.select(F.col("k").alias("a"), F.explode(F.sequence(F.lit(0), F.lit(BLOCK_KEYS - 1))).alias("block"))
+    return left.join(spots.withColumnRenamed("k", "b"), "block").where("a < b").select("a", "b")
 
-def pair_correlations(series: DataFrame, pairs: list[tuple[str, str]], value: str = "ret", by: DataFrame | None = None,
-                      min_obs: int = 1, key: str = "cid") -> DataFrame:
-    """Pairwise-complete correlation per pair, optionally per label of ``by`` (date, regime)."""
-    keys = sorted({k for p in pairs for k in p})
-    wide = align_wide(series, keys, key, value)
-    group = []
-    if by is not None:
-        wide, group = wide.join(by.select("date", "regime"), "date"), ["regime"]
-    aggs = []
-    for i, (a, b) in enumerate(pairs):
-        x, y = F.col(f"`{a}`"), F.col(f"`{b}`")
-        aggs += [F.corr(x, y).alias(f"corr_{i}"), F.count(F.when(x.isNotNull() & y.isNotNull(), 1)).alias(f"n_{i}")]
-    out = _unpivot(wide.groupBy(*group).agg(*aggs), group, pairs, ["corr", "n"]).where("n > 0")
-    return out.withColumn("corr", F.when(F.col("n") >= min_obs, F.col("corr")))
 
+def _products(n_keys: int, n_dates: int):
+    """Both blocks of keys over one stretch of dates -> the six sums of every pair of keys, each as one array."""
 
-def pair_rows(series: DataFrame, pairs: list[tuple[str, str]], value: str, key: str = "cid") -> DataFrame:
-    """(a, b, date, x, y) on the common dates of each pair."""
-    keys = sorted({k for p in pairs for k in p})
-    wide = align_wide(series, keys, key, value)
-    rows = F.array(*[
-        F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{a}`").alias("x"), F.col(f"`{b}`").alias("y"))
-        for a, b in pairs
-    ])
-    flat = wide.select("date", F.explode(rows).alias("r")).select("r.a", "r.b", "date", "r.x", "r.y")
-    return flat.where(F.col("x").isNotNull() & F.col("y").isNotNull())
+    def tile(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        values, present = np.zeros((n_dates, n_keys)), np.zeros((n_dates, n_keys))
+        values[rows["at"], rows["spot"]] = rows["v"]
+        present[rows["at"], rows["spot"]] = 1.0
+        return values, present
 
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        first = rows.iloc[0]
+        left, has_left = tile(rows[rows["block"] == first["low"]])
+        right, has_right = tile(rows[rows["block"] == first["high"]])
+        sums = has_left.T @ has_right, left.T @ has_right, has_left.T @ right, (left * left).T @ has_right, has_left.T @ (right * right), left.T @ right
+        return pd.DataFrame({"label": [first["label"]], "low": [first["low"]], "high": [first["high"]], "sums": [np.concatenate([s.ravel() for s in sums])]})
 
-def rolling_corr(series: DataFrame, pairs: list[tuple[str, str]], window: int = 60, value: str = "ret") -> DataFrame:
+    return run
+
+
+def _added(parts: pd.DataFrame) -> pd.DataFrame:
+    first = parts.iloc[[0]][["label", "low", "high"]]
+    return first.assign(sums=[np.sum(np.stack(parts["sums"].to_list()), axis=0)])
+
+
+def pair_sums(series: DataFrame, value: str = "ret", pairs: DataFrame | list[tuple[str, str]] | None = None, by: DataFrame | None = None, key: str = "cid",
+              block: tuple[int, int] = (BLOCK_KEYS, BLOCK_DATES)) -> DataFrame:
+    """(label, a, b, n, x, y, xx, yy, xy): sums over the common dates of each pair, values taken from their key's mean.
+
+    Blocked products: ``block`` says how many keys and dates a block and a stretch have; a task multiplies two
+    blocks over one stretch, and the products of a pair of blocks are added up as arrays. Only the pairs of blocks that
+    hold a requested pair are formed. ``label``: that of each date in ``by`` (date, regime), or null.
+    """
+    n_keys, n_dates = block
+    found = series.where(F.col(value).isNotNull()).select(F.col(key).alias("k"), "date", F.col(value).cast("double").alias("v"))
+    # spots of the keys: dense numbers from a sort in ranges, not from one window over all keys
+    keys = materialized(found.groupBy("k").agg(F.avg("v").alias("mean")), "keys")
+    numbered = keys.select("k", "mean", F.pmod(F.xxhash64("k"), F.lit(1 << 20)).alias("h"))
+    groups = numbered.groupBy("h").agg(F.count("*").alias("n"))
+    groups = groups.select("h", (F.sum("n").over(W.orderBy("h")) - F.col("n")).alias("base"))  # at most 2^20 rows
+    spots = numbered.join(groups, "h").withColumn("spot", F.col("base") + F.row_number().over(W.partitionBy("h").orderBy("k")) - 1)
+    spots = materialized(spots.select("k", "mean", F.floor(F.col("spot") / n_keys).cast("int").alias("block"), (F.col("spot") % n_keys).cast("int").alias("spot")), "spots")
+    dates = found.select("date").distinct() if by is None else by.select("date", F.col("regime").cast("string").alias("label")).where("label IS NOT NULL")
+    dates = dates if by is not None else dates.withColumn("label", F.lit(None).cast("string"))
+    day = F.datediff("date", F.lit("1970-01-01").cast("date"))
+    dates = dates.select("date", "label", F.floor(day / n_dates).alias("stretch"), F.pmod(day, F.lit(n_dates)).cast("int").alias("at"))
+    rows = found.join(spots, "k").join(dates, "date").select("label", "stretch", "at", "block", "spot", (F.col("v") - F.col("mean")).alias("v"))
+    if pairs is None:
+        blocks = spots.select("block").distinct()
+        wanted = blocks.select(F.col("block").alias("low"), F.explode(F.sequence("block", F.lit(blocks.agg(F.max("block")).scalar()))).alias("high"))
+    else:
+        of = spots.select("k", "block", "spot")
+        asked = pair_table(series, pairs).join(of.select(F.col("k").alias("a"), F.col("block").alias("_ba"), F.col("spot").alias("_sa")), "a")
+        asked = materialized(asked.join(of.select(F.col("k").alias("b"), F.col("block").alias("_bb"), F.col("spot").alias("_sb")), "b"), "asked")
+        wanted = asked.select(F.least("_ba", "_bb").alias("low"), F.greatest("_ba", "_bb").alias("high")).distinct()
+    sides = wanted.select("low", "high", F.explode(F.array_distinct(F.array("low", "high"))).alias("block"))
+    dealt = rows.join(sides, "block")
+    shape = "label string, low int, high int, sums array<double>"
+    parts = dealt.groupBy("label", "stretch", "low", "high").applyInPandas(_products(n_keys, n_dates), shape)
+    # stretches of a pair of blocks are added in two steps, so that none holds all of them
+    once = parts.withColumn("part", F.spark_partition_id() % 16).groupBy("label", "low", "high", "part").applyInPandas(_added, shape)
+    total = once.groupBy("label", "low", "high").applyInPandas(_added, shape)
+    size = n_keys * n_keys
+
+    def at(i: int) -> Column:
+        return F.element_at("sums", (F.lit(i * size + 1) + F.col("i") * n_keys + F.col("j")).cast("int")).alias(SUMS[i])
+
+    if pairs is None:
+        spot = F.sequence(F.lit(0), F.lit(n_keys - 1))
+        cells = total.select("label", "low", "high", "sums", F.explode(spot).alias("i")).select("*", F.explode(spot).alias("j")).where("low < high OR i < j")
+        cells = cells.select("label", "low", "high", "i", "j", *[at(i) for i in range(6)]).where("n > 0")
+        name = lambda side, block, spot: spots.select(F.col("k").alias(side), F.col("block").alias(block), F.col("spot").alias(spot))
+        cells = cells.join(name("a", "low", "i"), ["low", "i"]).join(name("b", "high", "j"), ["high", "j"])
+    else:
+        swap = F.col("_ba") > F.col("_bb")
+        asked = asked.select("a", "b", swap.alias("swap"), F.least("_ba", "_bb").alias("low"), F.greatest("_ba", "_bb").alias("high"),
+                             F.when(swap, F.col("_sb")).otherwise(F.col("_sa")).alias("i"), F.when(swap, F.col("_sa")).otherwise(F.col("_sb")).alias("j"))
+        cells = asked.join(total, ["low", "high"]).select("label", "a", "b", "swap", *[at(i) for i in range(6)]).where("n > 0")
+        turned = {p: F.when(F.col("swap"), F.col(q)).otherwise(F.col(p)) for p, q in (("x", "y"), ("y", "x"), ("xx", "yy"), ("yy", "xx"))}
+        return cells.select("label", "a", "b", F.col("n").cast("long").alias("n"), *[turned.get(s, F.col(s)).alias(s) for s in SUMS[1:]])
+    flip = F.col("a") > F.col("b")
+    ends = [F.when(flip, F.col(q)).otherwise(F.col(p)).alias(p) for p, q in (("a", "b"), ("b", "a"), ("x", "y"), ("y", "x"), ("xx", "yy"), ("yy", "xx"))]
+    return cells.select("label", *ends[:2], F.col("n").cast("long").alias("n"), *ends[2:], "xy")
+
+
+def pair_correlations(series: DataFrame, pairs: DataFrame | list[tuple[str, str]] | None = None, value: str = "ret", by: DataFrame | None = None,
+                      min_obs: int = 1, key: str = "cid", block: tuple[int, int] = (BLOCK_KEYS, BLOCK_DATES)) -> DataFrame:
+    """(a, b, corr, n): pairwise-complete correlation of the pairs (a, b) of a table, of all pairs by default, optionally per
+    label of ``by`` (date, regime). Pairs without a common date have no row; one that does not vary has no correlation."""
+    s = pair_sums(series, value, pairs, by, key, block)
+    vx, vy = (F.col(p + p) - F.col(p) * F.col(p) / F.col("n") for p in "xy")
+    # what is left of a constant after rounding is no variation
+    varies = (vx > 1e-13 * F.col("xx")) & (vy > 1e-13 * F.col("yy"))
+    corr = F.when(varies & (F.col("n") >= max(2, min_obs)), (F.col("xy") - F.col("x") * F.col("y") / F.col("n")) / F.sqrt(vx * vy))
+    return s.select(*([F.col("label").alias("regime")] if by is not None else []), "a", "b", corr.alias("corr"), "n")
+
+
+def pair_table(series: DataFrame, pairs: DataFrame | list[tuple[str, str]]) -> DataFrame:
+    """Pairs (a, b) written by hand as a table."""
+    return pairs if isinstance(pairs, DataFrame) else series.sparkSession.createDataFrame(pairs, "a string, b string")
+
+
+def pair_rows(series: DataFrame, pairs: DataFrame | list[tuple[str, str]], value: str, key: str = "cid") -> DataFrame:
+    """(a, b, date, x, y) on the common dates of each pair (a, b)."""
+    rows = series.where(F.col(value).isNotNull()).select(F.col(key).alias("k"), "date", F.col(value).alias("v"))
+    left = pair_table(series, pairs).select("a", "b").join(rows.select(F.col("k").alias("a"), "date", F.col("v").alias("x")), "a")
+    return left.join(rows.select(F.col("k").alias("b"), "date", F.col("v").alias("y")), ["b", "date"]).select("a", "b", "date", "x", "y")
+
+
+def rolling_corr(series: DataFrame, pairs: DataFrame | list[tuple[str, str]], window: int = 60, value: str = "ret") -> DataFrame:
     """Correlation over the last ``window`` common observations of each pair."""
     w = W.partitionBy("a", "b").orderBy("date").rowsBetween(-(window - 1), 0)
     rows = pair_rows(series, pairs, value)

@@ -222,6 +222,11 @@ def add_derived(bars: DataFrame, derived: DataFrame, key: str = "cid", value: st
     )
 
 
+def keys_of(bars: DataFrame, key: str = "cid") -> list[str]:
+    """The keys of a panel, sorted: the columns of its wide form, which a table can only have so many of."""
+    return [r[0] for r in bars.select(key).where(F.col(key).isNotNull()).distinct().orderBy(key).collect()]
+
+
 def align_wide(bars: DataFrame, keys: list[str], key: str = "cid", value: str = "close") -> DataFrame:
     """One row per date, one column per listed key; union of calendars, gaps stay null."""
     return bars.groupBy("date").pivot(key, list(keys)).agg(F.first(value))

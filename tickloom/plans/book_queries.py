@@ -257,14 +257,19 @@ def _(spark, d):
     WHERE a.cid = 'ECONOMY' AND b.cid IN ('LARGE', 'SMALL') WINDOW w AS (PARTITION BY b.cid ORDER BY date))
   SELECT a, b, {r('corr(x, y)')} AS same_day, {r('corr(x, p)')} AS prior_day, {r('corr(x, n)')} AS next_day FROM x GROUP BY 1, 2""")
 def _(spark, d):
-    return rounded_columns(qa.session_contamination(ser.log_returns(ad.type_bars_table(spark, d)), "ECONOMY", ["LARGE", "SMALL"]))
+    pairs = spark.createDataFrame([("ECONOMY", "LARGE"), ("ECONOMY", "SMALL")], "a string, b string")
+    return rounded_columns(qa.session_contamination(ser.log_returns(ad.type_bars_table(spark, d)), pairs))
 
 
-@query("known_relationships", f"""WITH {BARS6}, {SESS}, {LOGRET}, b AS (SELECT * FROM (VALUES ('ECONOMY', 'LARGE', -0.2, 0.2), ('MEDIUM', 'PROMO', 0.5, 0.9)) v(a, b, lo, hi))
+KNOWN = [("ECONOMY", "LARGE", -0.2, 0.2), ("ECONOMY", "MEDIUM", -0.2, 0.2), ("ECONOMY", "PROMO", -0.2, 0.2), ("LARGE", "SMALL", 0.1, 0.6),
+         ("LARGE", "STANDARD", -0.9, -0.05), ("MEDIUM", "PROMO", 0.5, 0.9), ("MEDIUM", "SMALL", -0.2, 0.2), ("PROMO", "STANDARD", -0.15, 1.0)]
+
+
+@query("known_relationships", f"""WITH {BARS6}, {SESS}, {LOGRET}, b AS (SELECT * FROM (VALUES {', '.join(map(str, KNOWN))}) v(a, b, lo, hi))
   SELECT b.a, b.b, count(*) AS n, {r('corr(x.ret, y.ret)')} AS corr, corr(x.ret, y.ret) BETWEEN any_value(lo) AND any_value(hi) AS ok FROM b JOIN rets x ON x.cid = b.a JOIN rets y ON y.cid = b.b AND y.date = x.date GROUP BY 1, 2""")
 def _(spark, d):
-    rets = ser.log_returns(ad.type_bars_table(spark, d))
-    return rounded_columns(qa.known_relationships(rets, [("ECONOMY", "LARGE", -0.2, 0.2), ("MEDIUM", "PROMO", 0.5, 0.9)]))
+    bounds = spark.createDataFrame(KNOWN, "a string, b string, lo double, hi double")
+    return rounded_columns(qa.known_relationships(ser.log_returns(ad.type_bars_table(spark, d)), bounds))
 
 
 @query("derived_reconcile", f"""WITH {BARS6}, {SESS}, dr AS (SELECT * FROM (VALUES ('ECO_X_LARGE', 'ECONOMY', 'LARGE'), ('MED_X_SMALL', 'MEDIUM', 'SMALL')) v(derived, a, b)),

@@ -83,21 +83,42 @@ def _(spark, d):
     WINDOW w AS (PARTITION BY a, b ORDER BY date ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)) WHERE n >= 60""")
 def _(spark, d):
     rets = ser.log_returns(ad.type_bars_table(spark, d))
-    return rounded_columns(rel.rolling_corr(rets, rel.all_pairs(list(ad.SERIES6))), 5)
+    rets = materialized(rets, "rets")
+    return rounded_columns(rel.rolling_corr(rets, rel.all_pairs(rets)), 5)
 
 
-@query("pairwise_corr", f"""WITH {BARS6}, {SESS}, {LOGRET} SELECT x.cid AS a, y.cid AS b, {r('corr(x.ret, y.ret)')} AS corr,
-  count(*) AS n FROM rets x JOIN rets y USING (date) WHERE x.cid < y.cid GROUP BY 1, 2""")
+def _pairwise_sql(bars):
+    return f"""WITH {bars}, {SESS}, {LOGRET} SELECT x.cid AS a, y.cid AS b, {r('corr(x.ret, y.ret)')} AS corr,
+  count(*) AS n FROM rets x JOIN rets y USING (date) WHERE x.cid < y.cid GROUP BY 1, 2"""
+
+
+@query("pairwise_corr", _pairwise_sql(BARS6))
 def _(spark, d):
-    rets = ser.log_returns(ad.type_bars_table(spark, d))
-    return rounded_columns(rel.pair_correlations(rets, rel.all_pairs(list(ad.SERIES6))))
+    return rounded_columns(rel.pair_correlations(ser.log_returns(ad.type_bars_table(spark, d))))
+
+
+@query("pairwise_corr_brands", _pairwise_sql(BARS))
+def _(spark, d):
+    return rounded_columns(rel.pair_correlations(ser.log_returns(ad.bars_table(spark, d))))
+
+
+@query("requested_corr", f"""WITH {BARS}, {SESS}, {LOGRET}, asked AS (SELECT DISTINCT x.p_brand AS a, y.p_brand AS b FROM part x JOIN part y
+    ON y.p_partkey = x.p_partkey + 1 WHERE x.p_brand <> y.p_brand)
+  SELECT a, b, CASE WHEN count(*) >= 500 THEN {r('corr(x.ret, y.ret)')} END AS corr, count(*) AS n
+  FROM asked JOIN rets x ON x.cid = a JOIN rets y ON y.cid = b AND y.date = x.date GROUP BY 1, 2""")
+def _(spark, d):
+    """The pairs of a table: brands of neighbouring parts, either way round."""
+    part = ad.table(spark, d, "part")
+    other = part.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_brand").alias("b"))
+    asked = part.select("p_partkey", F.col("p_brand").alias("a")).join(other, "p_partkey").where("a <> b").select("a", "b").distinct()
+    return rounded_columns(rel.pair_correlations(ser.log_returns(ad.bars_table(spark, d)), asked, min_obs=500))
 
 
-@query("aligned_panel", f"""WITH {BARS6} SELECT date, {', '.join(
-  f"max(CASE WHEN cid = '{k}' THEN close END) AS {k.lower()}" for k in ad.SERIES6)} FROM bars GROUP BY 1""")
+@query("aligned_panel", f"""WITH {BARS6} SELECT * FROM (PIVOT bars ON cid USING first(close) GROUP BY date)""")
 def _(spark, d):
-    wide = ser.align_wide(ad.type_bars(spark, d), list(ad.SERIES6))
-    return wide.select("date", *[F.col(k).alias(k.lower()) for k in ad.SERIES6])
+    """A column for every key that the table has."""
+    bars = ad.type_bars_table(spark, d)
+    return ser.align_wide(bars, ser.keys_of(bars))
 
 
 @query("rebase100", f"""WITH {BARS6}, full_days AS (SELECT date FROM bars GROUP BY 1
@@ -310,8 +331,7 @@ def _(spark, d):
   FROM rets x JOIN rets y USING (date) JOIN reg USING (date) WHERE x.cid < y.cid AND regime IS NOT NULL GROUP BY 1, 2, 3""")
 def _(spark, d):
     rets = ser.log_returns(ad.type_bars_table(spark, d))
-    pairs = rel.all_pairs(list(ad.SERIES6))
-    return rounded_columns(rel.pair_correlations(rets, pairs, by=_market_regime(spark, d), min_obs=60))
+    return rounded_columns(rel.pair_correlations(rets, by=_market_regime(spark, d), min_obs=60))
 
 
 PAIRS = f"""{BARS6}, {SESS}, {LOGRET}, {FLOW}, prs AS (SELECT cid, date, flow AS x, ret AS y FROM rets JOIN flow USING (date)),

@@ -347,6 +347,7 @@ def _(spark, d):
 def _(spark, d):
     """Purchases arrive late as a stream; each batch restates the marks on and after its dates."""
     marks = ad.table(spark, d, "events").select(F.col("user_id").alias("book"), F.to_date("ts").alias("date")).distinct().withColumn("nav", F.lit(0).cast("long"))
+    marks = jobs.by_slot(marks, "book", "marks")
     late = jobs.event_stream(spark, d).where("event_type = 'purchase'").select(F.col("user_id").alias("book"), F.to_date("ts").alias("ex_date"), ad.cents("value").alias("cash"))
 
     def step(batch, i, path):

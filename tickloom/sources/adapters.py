@@ -61,9 +61,6 @@ def type_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bars(spark, sf_dir, "p_type")
 
 
-SERIES6 = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
-
-
 def market_close(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One market-wide price per day: (date, close)."""
     items = table(spark, sf_dir, "lineitem")
