@@ -174,3 +174,23 @@ def test_gate_report(spark):
     df = spark.createDataFrame([("e", 0.99, 0.2, 0.5, None, 300.0)], "experiment string, dsr double, pbo double, neighbour_ratio double, capacity double, min_track_record double")
     got = {r["n"]: r["status"] for r in gates.gate_report(df).collect()}
     assert got == {5: "PASS", 7: "FAIL", 8: "NOT RUN", 9: "INFO", 10: "NOT RUN"}
+
+
+def test_losses_lapse_after_eight_years_and_over_idle_years(spark):
+    years = [(2001, -0.5), (2002, -0.1), (2009, 0.2), (2010, 0.5), (2030, -0.3), (2042, 1.0)]
+    df = spark.createDataFrame([("t", day(f"{y}-02-01"), r) for y, r in years], "trial string, date date, net double")
+    got = [x["ret"] for x in bt.after_tax(df).orderBy("date").collect()]
+    equity, carry, want = 1_000_000.0, {}, []
+    for y, r in years:
+        opening, equity = equity, equity * (1 + r)
+        gain = equity - opening
+        for old in sorted(carry):
+            if gain > 0 and y - old <= 8:
+                used = min(carry[old], gain)
+                carry[old], gain = carry[old] - used, gain - used
+        if gain < 0:
+            carry[y] = -gain
+        hit = max(gain, 0) * (0.20 if y >= 2025 else 0.15) / equity
+        want.append((1 + r) * (1 - hit) - 1)
+        equity *= 1 - hit
+    assert got == [pytest.approx(w, abs=1e-12) for w in want] and want[2] == pytest.approx(0.2)

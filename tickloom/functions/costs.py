@@ -47,6 +47,12 @@ def sqrt_impact(traded: Column, adv: Column, vol: Column, k: float = 0.7) -> Col
     return F.lit(k) * vol * F.sqrt(F.try_divide(F.abs(traded), adv))
 
 
-def gains_rates(fy: int) -> tuple[float, float, float]:
+def gains_rates(fy: Column) -> tuple[Column, Column, Column]:
     """(short-term, long-term, exemption) for a financial year."""
-    return [row[1:] for row in GAINS_TAX if row[0] <= fy][-1]
+    out = []
+    for i in range(1, 4):
+        value = F.lit(float(GAINS_TAX[0][i]))
+        for row in GAINS_TAX[1:]:
+            value = F.when(fy >= row[0], F.lit(float(row[i]))).otherwise(value)
+        out.append(value)
+    return tuple(out)

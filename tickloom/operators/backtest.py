@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -171,30 +170,33 @@ def after_tax(results: DataFrame, ret: str = "net", capital: float = 1_000_000.0
     """
     days = results.select("trial", "date", F.coalesce(F.col(ret), F.lit(0.0)).alias("ret")).withColumn("fy", cal.financial_year("date"))
     years = days.groupBy("trial", "fy").agg(F.product(1 + F.col("ret")).alias("growth"), F.max("date").alias("date"))
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        equity, carry, hits = capital, {}, []
-        for fy, growth in pdf.sort_values("fy")[["fy", "growth"]].itertuples(index=False):
-            opening, equity = equity, equity * growth
-            gain, tax = equity - opening, 0.0
-            carry = {y: loss for y, loss in carry.items() if fy - y <= 8}
-            if gain < 0:
-                carry[fy] = -gain
-            for y in sorted(carry) if gain > 0 else ():
-                used = min(carry[y], gain)
-                carry[y] -= used
-                gain -= used
-            carry = {y: loss for y, loss in carry.items() if loss > 0}
-            if gain > 0:
-                short, long_, exempt = costs.gains_rates(int(fy))
-                tax = gain * short if avg_holding_days < 365 else max(gain - exempt, 0.0) * long_
-            hit = tax / equity if tax > 0 and equity > 0 else 0.0
-            equity *= 1 - hit
-            hits.append(hit)
-        ordered = pdf.sort_values("fy")
-        return ordered.assign(hit=hits)[["trial", "date", "hit"]]
-
-    kind = dict(results.dtypes)["trial"]
-    hits = years.groupBy("trial").applyInPandas(fold, f"trial {kind}, date date, hit double")
+    short, long_, exempt = costs.gains_rates(F.col("fy"))
+    rate, free = (short, F.lit(0.0)) if avg_holding_days < 365 else (long_, exempt)
+    years = years.withColumns({"rate": rate, "free": free})
+    ordered = years.groupBy("trial").agg(F.array_sort(F.collect_list(F.struct("fy", "growth", "date", "rate", "free"))).alias("years"))
+    none = F.array_repeat(F.lit(0.0), LOSS_YEARS)
+    start = F.struct(F.lit(float(capital)).alias("equity"), none.alias("losses"), F.lit(0).cast("int").alias("fy"), F.array().cast("array<double>").alias("hits"))
+    hits = ordered.select("trial", "years", F.aggregate("years", start, _taxed_year, lambda s: s["hits"]).alias("hits"))
+    hits = hits.select("trial", F.explode(F.arrays_zip("years", "hits")).alias("x")).select("trial", F.col("x.years.date").alias("date"), F.col("x.hits").alias("hit"))
     joined = days.join(hits, ["trial", "date"], "left")
     return joined.select("trial", "date", ((1 + F.col("ret")) * (1 - F.coalesce("hit", F.lit(0.0))) - 1).alias("ret"))
+
+
+#: Years for which a loss can be set against gains.
+LOSS_YEARS = 8
+
+
+def _taxed_year(state: Column, year: Column) -> Column:
+    """One financial year of a trial. ``losses``: what is left of those of the last LOSS_YEARS years, oldest first."""
+    # years without a session move the losses on as well
+    skipped = F.when(state["fy"] == 0, 0).otherwise(F.least(year["fy"] - state["fy"] - 1, F.lit(LOSS_YEARS))).cast("int")
+    losses = F.slice(F.concat(state["losses"], F.array_repeat(F.lit(0.0), skipped)), skipped + 1, LOSS_YEARS)
+    closing = state["equity"] * year["growth"]
+    gain = F.greatest(closing - state["equity"], F.lit(0.0))
+    loss = F.greatest(state["equity"] - closing, F.lit(0.0))
+    used = F.aggregate(losses, F.struct(gain.alias("open"), F.array().cast("array<double>").alias("kept")), lambda a, one: F.struct(
+        F.greatest(a["open"] - one, F.lit(0.0)).alias("open"), F.concat(a["kept"], F.array(F.greatest(one - a["open"], F.lit(0.0)))).alias("kept")))
+    tax = F.greatest(used["open"] - year["free"], F.lit(0.0)) * year["rate"]
+    hit = F.when((tax > 0) & (closing > 0), tax / closing).otherwise(0.0)
+    left = F.slice(F.concat(used["kept"], F.array(loss)), 2, LOSS_YEARS)
+    return F.struct((closing * (1 - hit)).alias("equity"), left.alias("losses"), year["fy"].cast("int").alias("fy"), F.concat(state["hits"], F.array(hit)).alias("hits"))

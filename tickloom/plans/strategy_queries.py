@@ -237,10 +237,33 @@ def target_weight_returns(spark, d):
     return rounded_columns(_grid_results(spark, d))
 
 
-@query("after_tax")
+def _rate_sql(i: int) -> str:
+    first, *later = costs.GAINS_TAX
+    return "CASE " + " ".join(f"WHEN fy >= {row[0]} THEN {row[i]}" for row in reversed(later)) + f" ELSE {first[i]} END"
+
+
+def _after_tax_sql(rate: int, free: str) -> str:
+    return f"""WITH RECURSIVE {TRIALS}, dy AS (SELECT trial, date, coalesce(ret, 0) AS ret, CASE WHEN month(date) >= 4 THEN year(date) + 1 ELSE year(date) END AS fy FROM tr),
+  yr AS (SELECT trial, fy, product(1 + ret) AS growth, max(date) AS date, row_number() OVER (PARTITION BY trial ORDER BY fy) AS i, lag(fy) OVER (PARTITION BY trial ORDER BY fy) AS before,
+    ({_rate_sql(rate)})::DOUBLE AS rate, ({free})::DOUBLE AS free FROM dy GROUP BY 1, 2),
+  st AS (SELECT trial, 0::BIGINT AS i, 1000000.0::DOUBLE AS equity, list_transform(range(8), lambda k: 0.0::DOUBLE) AS losses, NULL::DATE AS date, 0.0::DOUBLE AS hit FROM yr GROUP BY 1
+    UNION ALL SELECT trial, i, closing * (1 - hit), list_append(left_[2:], loss), date, hit FROM (
+      SELECT *, CASE WHEN greatest(opened - free, 0) * rate > 0 AND closing > 0 THEN greatest(opened - free, 0) * rate / closing ELSE 0 END AS hit FROM (
+        SELECT *, greatest(gain - list_sum(old), 0) AS opened, list_transform(old, lambda l, k: least(l, greatest(l - (gain - coalesce(list_sum(old[1:k - 1]), 0)), 0))) AS left_ FROM (
+          SELECT yr.trial, yr.i, yr.date, yr.rate, yr.free, s.equity * growth AS closing, greatest(s.equity * growth - s.equity, 0) AS gain, greatest(s.equity - s.equity * growth, 0) AS loss,
+            list_transform(range(8), lambda k: coalesce(s.losses[k + 1 + coalesce(yr.fy - yr.before - 1, 0)], 0)) AS old
+          FROM st s JOIN yr ON yr.trial = s.trial AND yr.i = s.i + 1))))
+  SELECT dy.trial, dy.date, {r('(1 + ret) * (1 - coalesce(hit, 0)) - 1')} AS ret FROM dy LEFT JOIN st ON st.trial = dy.trial AND st.date = dy.date"""
+
+
+@query("after_tax", _after_tax_sql(1, "0"))
 def _(spark, d):
-    trials = _trials(spark, d).withColumn("net", F.col("ret") / 100)
-    return rounded_columns(bt.after_tax(trials, avg_holding_days=120))
+    return rounded_columns(bt.after_tax(_trials(spark, d).withColumnRenamed("ret", "net"), avg_holding_days=120))
+
+
+@query("after_tax_long", _after_tax_sql(2, _rate_sql(3)))
+def _(spark, d):
+    return rounded_columns(bt.after_tax(_trials(spark, d).withColumnRenamed("ret", "net"), avg_holding_days=400))
 
 
 @query("gate_report")
