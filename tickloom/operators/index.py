@@ -17,6 +17,7 @@ from tickloom.functions import calendar as cal
 from tickloom.operators import series as ser
 from tickloom.operators import temporal as tmp
 from tickloom.operators.ranking import top_n
+from tickloom.session import materialized
 
 # Fixed values of the methodology.
 TOP_N, MUST_IN, MUST_OUT = 30, 15, 45
@@ -75,7 +76,9 @@ def still_trading(names: DataFrame, bars: DataFrame, schedule: DataFrame, within
 
 
 def momentum_scores(adj: DataFrame, schedule: DataFrame, members: DataFrame, sessions: DataFrame, days: int = 365) -> DataFrame:
-    """Methodology scores and ranks per review. adj: (cid, date, adj); members: (review, cid)."""
+    """Methodology scores and ranks per review. adj: (cid, date, adj); members: (review, cid), and further columns that
+    name a list of their own for each review, as those of several universes."""
+    by = [c for c in members.columns if c != "cid"]
     marks = schedule.select("review", F.explode(F.array(*[
         F.struct(F.lit(t).alias("tag"), F.col(t).alias("date")) for t in ("cutoff", "p7", "p13")
     ])).alias("m")).select("review", "m.tag", "m.date")
@@ -91,19 +94,19 @@ def momentum_scores(adj: DataFrame, schedule: DataFrame, members: DataFrame, ses
     sigma = rets.join(span, "date").where(F.col("_p") >= F.col("_lo")).groupBy("review", "cid").agg(
         (F.stddev_samp("ret") * math.sqrt(252)).alias("sigma"))
 
-    base = points.join(sigma, ["review", "cid"]).join(members, ["review", "cid"], "left_semi").select(
-        "review", "cid", (F.col("cutoff") / F.col("p13") - 1).alias("ret12"),
+    base = points.join(sigma, ["review", "cid"]).join(members.distinct(), ["review", "cid"]).select(
+        *by, "cid", (F.col("cutoff") / F.col("p13") - 1).alias("ret12"),
         (F.col("cutoff") / F.col("p7") - 1).alias("ret6"), "sigma")
     base = base.where(F.col("ret12").isNotNull() & F.col("ret6").isNotNull() & (F.col("sigma") > 0))
     ratio = base.withColumns({"mr12": F.col("ret12") / F.col("sigma"), "mr6": F.col("ret6") / F.col("sigma")})
-    cross = W.partitionBy("review")
+    cross = W.partitionBy(*by)
 
     def z(c: str) -> Column:
         return F.try_divide(F.col(c) - F.avg(c).over(cross), F.stddev_samp(c).over(cross))
 
     wz = ratio.withColumn("wz", 0.5 * z("mr12") + 0.5 * z("mr6")).withColumn("n_eligible", F.count("*").over(cross))
     scored = wz.withColumn("score", F.when(F.col("wz") >= 0, 1 + F.col("wz")).otherwise(1 / (1 - F.col("wz"))))
-    order = W.partitionBy("review").orderBy(F.desc("score"), F.asc("cid"))
+    order = cross.orderBy(F.desc("score"), F.asc("cid"))
     return scored.withColumn("rank", F.row_number().over(order))
 
 
@@ -137,7 +140,7 @@ def buffered_select(scores: DataFrame, n: int = TOP_N, must_in: int = MUST_IN, m
     return flat.select(by, "review", F.col("p.cid").alias("cid"), F.col("p.rank").alias("rank"))
 
 
-def capped_weights(picks: DataFrame, by: list[str], cap_abs: float = CAP_ABS, cap_mult: float = CAP_MULT) -> DataFrame:
+def capped_weights(picks: DataFrame, by: list[str], cap_abs: float | Column = CAP_ABS, cap_mult: float = CAP_MULT) -> DataFrame:
     """weight ~ size x score with each weight at most min(cap_abs, cap_mult x size share).
 
     Closed form of pro-rata redistribution: in the order of cap/raw, names before the first one whose
@@ -317,6 +320,54 @@ def run_reviews(ctx: dict, universe: Rule = turnover_universe, size: Rule = turn
     return weighted.withColumn("weight_ew", equal).join(ctx["schedule"].select("review", "cutoff", "effective"), "review")
 
 
+def candidates(ctx: dict, shares: DataFrame, min_periods: int = 100) -> DataFrame:
+    """(rule, review, cid, size, alive): the size of every name at every review by each rule, ``turnover`` and ``mcap``.
+
+    The market cap is estimated over names that still trade; the others have a turnover only."""
+    px = average_turnover_at(ctx["adj"], ctx["schedule"], ctx["sessions"], min_periods=min_periods, value="adj", zero_fill=False)
+    adv = ctx["adv"].join(still_trading(ctx["adv"], ctx["bars"], ctx["schedule"]).select("review", "cid", F.lit(True).alias("alive")), ["review", "cid"], "left")
+    adv = adv.withColumn("alive", F.coalesce("alive", F.lit(False)))
+    cross = px.withColumnRenamed("avg", "price").join(adv.where("alive").withColumnRenamed("avg", "adv"), ["review", "cid"])
+    caps = market_cap_estimate(cross, shares, ["review"]).select(F.lit("mcap").alias("rule"), "review", "cid", F.col("mcap").alias("size"), F.lit(True).alias("alive"))
+    return caps.unionByName(adv.select(F.lit("turnover").alias("rule"), "review", "cid", F.col("avg").alias("size"), "alive"))
+
+
+def run_scenarios(ctx: dict, scenarios: DataFrame, sizes: DataFrame, universe_n: int = UNIVERSE_N, n: int = TOP_N, must_in: int = MUST_IN,
+                  must_out: int = MUST_OUT, cap_mult: float = CAP_MULT, seasoned_days: int = 365) -> DataFrame:
+    """(scenario, effective, cid, weight) of every scenario in one plan.
+
+    A scenario is a row: scenario, universe (rule), size (rule), weighting (tilt, equal, or universe for the whole universe by
+    size), cap (largest weight), shift (sessions), derivatives (names must be on the list of the cutoff day). Scenarios with the
+    same universe and filter share its scores and picks. ``sizes``: see ``candidates``; ctx as in ``run_reviews``, with
+    ``derivatives`` where a scenario asks for them.
+    """
+    key = F.concat_ws("|", "universe", F.col("derivatives").cast("string"))
+    scenarios = scenarios.withColumn("plan", F.when(F.col("weighting") != "universe", key))
+    names = top_n(sizes.where("alive"), ["rule", "review"], [F.desc("size"), F.asc("cid")], universe_n).select("rule", "review", "cid", "size")
+    plans = scenarios.where("plan IS NOT NULL").select("plan", F.col("universe").alias("rule"), "derivatives").distinct()
+    first = ctx["bars"].groupBy("cid").agg(F.min("date").alias("_first"))
+    members = names.join(plans, "rule").join(ctx["schedule"].select("review", "cutoff"), "review").join(first, "cid")
+    members = members.where(F.col("_first") <= F.date_sub("cutoff", seasoned_days))
+    if ctx.get("derivatives") is not None:
+        listed = ctx["derivatives"].select(F.col("date").alias("cutoff"), F.col("symbol").alias("cid")).distinct().withColumn("_on", F.lit(True))
+        members = members.join(listed, ["cutoff", "cid"], "left").where("NOT derivatives OR _on")
+    scores = materialized(momentum_scores(ctx["adj"], ctx["schedule"], members.select("plan", "review", "cid"), ctx["sessions"]), "scores")
+    picks = buffered_select(scores, n, must_in, must_out, by="plan").drop("rank").join(scores.select("plan", "review", "cid", "score"), ["plan", "review", "cid"])
+
+    middle = sizes.groupBy("rule", "review").agg(F.median("size").alias("_mid"))
+    own = picks.join(scenarios.withColumnRenamed("size", "rule"), "plan").join(sizes.select("rule", "review", "cid", "size"), ["rule", "review", "cid"], "left")
+    own = own.join(middle, ["rule", "review"], "left").withColumn("size", F.coalesce("size", "_mid"))
+    tilt = capped_weights(own.where("weighting = 'tilt'"), ["scenario", "review"], F.col("cap"), cap_mult).select("scenario", "shift", "review", "cid", "weight")
+    equal = own.where("weighting = 'equal'").withColumn("weight", F.lit(1.0) / F.count("*").over(W.partitionBy("scenario", "review")))
+    whole = names.join(scenarios.where("weighting = 'universe'").select("scenario", "shift", F.col("universe").alias("rule")), "rule")
+    whole = whole.withColumn("weight", F.col("size") / F.sum("size").over(W.partitionBy("scenario", "review")))
+    cols = ["scenario", "shift", "review", "cid", "weight"]
+    weights = tilt.unionByName(equal.select(cols)).unionByName(whole.select(cols)).join(ctx["schedule"].select("review", "effective"), "review")
+    placed = weights.join(ctx["sessions"].withColumnRenamed("date", "effective"), "effective").drop("effective")
+    placed = placed.withColumn("session_no", F.col("session_no") + F.col("shift"))
+    return placed.join(ctx["sessions"].withColumnRenamed("date", "effective"), "session_no").select("scenario", "effective", "cid", "weight")
+
+
 def held_jumps(total: DataFrame, holdings: DataFrame, audited: DataFrame, limit: float = 0.2) -> DataFrame:
     """Held names with a raw move beyond +-limit: weight, contribution, clipped, unexplained."""
     unexplained = audited.where("status = 'unexplained'").select("cid", F.col("ex_date").alias("date"), F.lit(True).alias("_u"))

@@ -291,3 +291,72 @@ def _(spark, d):
     paid = ad.subjects(spark, d).groupBy(F.col("symbol").alias("cid"), F.col("ex_date").alias("date")).agg(F.sum("size").cast("double").alias("dividend"))
     total = ctx["bars"].join(paid, ["cid", "date"], "left").select("cid", "date", F.col("close").alias("adj"), F.coalesce("dividend", F.lit(0.0)).alias("dividend"))
     return rounded_columns(ix.dividend_yield_by_year(total, hold))
+
+
+# name, universe, size, weighting, cap, shift, derivatives list
+SCENARIOS = [
+    ("turnover", "turnover", "turnover", "tilt", CAP, 0, True), ("turnover_equal", "turnover", "turnover", "equal", CAP, 0, True),
+    ("mcap", "mcap", "mcap", "tilt", CAP, 0, True), ("mcap_equal", "mcap", "mcap", "equal", CAP, 0, True),
+    ("mcap_10_before", "mcap", "mcap", "tilt", CAP, -10, True), ("mcap_5_before", "mcap", "mcap", "tilt", CAP, -5, True),
+    ("mcap_5_after", "mcap", "mcap", "tilt", CAP, 5, True), ("mcap_any_name", "mcap", "mcap", "tilt", CAP, 0, False),
+    ("universe_turnover", "turnover", "turnover", "universe", 1.0, 0, False), ("universe_mcap", "mcap", "mcap", "universe", 1.0, 0, False),
+]
+UNIVERSE = 15
+SCENARIO_SQL = f"""{BARS}, {SESS}, {SCHED}, {ADVAT}, {SIMPLE},
+  scen AS (SELECT *, CASE WHEN weighting <> 'universe' THEN universe || '|' || derivatives END AS plan FROM (VALUES {', '.join(map(str, SCENARIOS))}) v(scenario, universe, rule, weighting, cap, shift, derivatives)),
+  fo AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS date, p_brand AS cid FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag <> 'R'),
+  alive AS (SELECT review, cid FROM sched JOIN (SELECT cid, max(date) AS ld FROM bars GROUP BY 1) ON ld >= cutoff - 10), {SHARES},
+  cl AS (SELECT cr.* FROM cr JOIN alive USING (review, cid)), rl AS (SELECT review, median(cap / adv) AS ratio FROM cl WHERE cap IS NOT NULL AND adv > 0 GROUP BY 1),
+  szs AS (SELECT 'turnover' AS rule, review, cid, avg AS size, (review, cid) IN (SELECT (review, cid) FROM alive) AS alive FROM adv
+    UNION ALL SELECT 'mcap', review, cid, coalesce(cap, adv * ratio), true FROM cl LEFT JOIN rl USING (review)),
+  uni AS (SELECT rule, review, cid, size FROM (SELECT *, row_number() OVER (PARTITION BY rule, review ORDER BY size DESC, cid) AS k FROM szs WHERE alive) WHERE k <= {UNIVERSE}),
+  elig AS (SELECT plan, u.review, u.cid FROM uni u JOIN (SELECT DISTINCT plan, universe, derivatives FROM scen WHERE plan IS NOT NULL) p ON p.universe = u.rule JOIN sched s ON s.review = u.review
+    JOIN (SELECT cid, min(date) AS f FROM bars GROUP BY 1) f ON f.cid = u.cid WHERE f <= cutoff - 365 AND (NOT derivatives OR (cutoff, u.cid) IN (SELECT (date, cid) FROM fo))),
+  rr AS (SELECT cid, date, pd, ln(close / pc) AS ret FROM (SELECT b.cid, b.date, s.session_no AS no, close, lag(close) OVER w AS pc, lag(b.date) OVER w AS pd,
+      lag(s.session_no) OVER w AS pn FROM bars b JOIN sess s ON s.date = b.date WINDOW w AS (PARTITION BY b.cid ORDER BY b.date)) WHERE pn = no - 1),
+  sg AS (SELECT review, cid, stddev_samp(ret) * sqrt(252) AS sigma FROM rr JOIN sched ON date > cutoff - 365 AND date <= cutoff AND pd > cutoff - 365 GROUP BY 1, 2),
+  mk AS (SELECT review, cutoff AS date, 0 AS k FROM sched UNION ALL SELECT review, p7, 7 FROM sched UNION ALL SELECT review, p13, 13 FROM sched),
+  p3 AS (SELECT review, cid, max(CASE WHEN k = 0 THEN close END) AS a, max(CASE WHEN k = 7 THEN close END) AS b, max(CASE WHEN k = 13 THEN close END) AS c FROM mk JOIN bars USING (date) GROUP BY 1, 2),
+  pts AS (SELECT plan, review, cid, a / c - 1 AS ret12, a / b - 1 AS ret6, sigma FROM elig JOIN p3 USING (review, cid) JOIN sg USING (review, cid) WHERE sigma > 0 AND a / c IS NOT NULL AND a / b IS NOT NULL),
+  zz AS (SELECT *, 0.5 * (ret12 / sigma - avg(ret12 / sigma) OVER p) / stddev_samp(ret12 / sigma) OVER p + 0.5 * (ret6 / sigma - avg(ret6 / sigma) OVER p) / stddev_samp(ret6 / sigma) OVER p AS wz
+    FROM pts WINDOW p AS (PARTITION BY plan, review)),
+  sc AS (SELECT *, CASE WHEN wz >= 0 THEN 1 + wz ELSE 1 / (1 - wz) END AS score FROM zz),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY plan, review ORDER BY score DESC, cid) AS rank FROM sc),
+  lists AS (SELECT plan, review, list(cid ORDER BY rank) FILTER (rank <= {MOUT}) AS names, row_number() OVER (PARTITION BY plan ORDER BY review) AS k FROM ranked GROUP BY 1, 2),
+  sel(plan, k, review, chosen) AS (SELECT plan, k, review, names[1:{N}] FROM lists WHERE k = 1
+    UNION ALL SELECT l.plan, l.k, l.review, CASE WHEN len(s.chosen) = 0 THEN l.names[1:{N}] ELSE
+      list_concat(list_concat(l.names[1:{MIN_}], list_filter(l.names[{MIN_ + 1}:{MOUT}], lambda x: list_contains(s.chosen, x))),
+        list_filter(l.names[{MIN_ + 1}:{MOUT}], lambda x: NOT list_contains(s.chosen, x)))[1:{N}] END FROM sel s JOIN lists l ON l.plan = s.plan AND l.k = s.k + 1),
+  pk AS (SELECT plan, review, unnest(chosen) AS cid FROM sel),
+  sz AS (SELECT scenario, weighting, cap AS most, p.review, p.cid, r.score, coalesce(z.size, m.mid) AS size FROM pk p JOIN ranked r ON r.plan = p.plan AND r.review = p.review AND r.cid = p.cid JOIN scen c ON c.plan = p.plan
+    LEFT JOIN szs z ON z.rule = c.rule AND z.review = p.review AND z.cid = p.cid LEFT JOIN (SELECT rule, review, median(size) AS mid FROM szs GROUP BY 1, 2) m ON m.rule = c.rule AND m.review = p.review),
+  c1 AS (SELECT *, least(most, 5.0 * size / sum(size) OVER (PARTITION BY scenario, review)) AS cap, size * score AS raw FROM sz),
+  c2 AS (SELECT *, (1 - coalesce(sum(cap) OVER (PARTITION BY scenario, review ORDER BY cap / raw, cid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(raw) OVER (PARTITION BY scenario, review ORDER BY cap / raw, cid ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lam FROM c1),
+  c3 AS (SELECT *, min_by(lam, cap / raw) FILTER (lam * raw <= cap) OVER (PARTITION BY scenario, review) AS l FROM c2),
+  c4 AS (SELECT *, CASE WHEN weighting = 'equal' THEN 1 ELSE coalesce(least(cap, l * raw), cap) END AS w0 FROM c3 UNION ALL
+    SELECT scenario, weighting, NULL, review, cid, NULL, size, NULL, NULL, NULL, NULL, size FROM uni JOIN scen c ON c.rule = uni.rule WHERE weighting = 'universe'),
+  w2 AS (SELECT c4.scenario, t.date AS effective, cid, w0 / sum(w0) OVER (PARTITION BY c4.scenario, c4.review) AS weight FROM c4 JOIN scen USING (scenario)
+    JOIN sched USING (review) JOIN sess s ON s.date = sched.effective LEFT JOIN sess t ON t.session_no = s.session_no + shift),
+  sets AS (SELECT scenario, effective, coalesce(lead(effective) OVER (PARTITION BY scenario ORDER BY effective), (SELECT max(date) FROM rets)) AS e FROM (SELECT DISTINCT scenario, effective FROM w2 WHERE effective IS NOT NULL)),
+  dd AS (SELECT DISTINCT date FROM rets), held AS (SELECT scenario, effective, date FROM sets JOIN dd ON date > effective AND date <= e),
+  gr AS (SELECT h.scenario, h.effective, h.date, w.weight * product(1 + coalesce(t.ret, 0)) OVER (PARTITION BY h.scenario, h.effective, w.cid ORDER BY h.date) AS g
+    FROM held h JOIN w2 w ON w.effective = h.effective AND w.scenario = h.scenario LEFT JOIN rets t ON t.cid = w.cid AND t.date = h.date),
+  val AS (SELECT scenario, effective, date, sum(g) AS v FROM gr GROUP BY 1, 2, 3),
+  port AS (SELECT scenario, date, v / coalesce(lag(v) OVER (PARTITION BY scenario, effective ORDER BY date), 1) - 1 AS ret FROM val),
+  {MARKET}, bm AS (SELECT date, close / lag(close) OVER (ORDER BY date) - 1 AS bench FROM mkt),
+  eras AS (SELECT * FROM (VALUES {', '.join(f"('{n}', DATE '{a}', DATE '{b or '9999-12-31'}')" for n, a, b in ERAS)}) v(era, a, b)),
+  pb AS (SELECT scenario, era, p.date, p.ret AS rep, bench FROM port p JOIN bm USING (date) JOIN eras ON p.date BETWEEN a AND b WHERE bench IS NOT NULL)"""
+
+
+@query("gap_by_scenario", f"""WITH RECURSIVE {SCENARIO_SQL} {_track('scenario, era')} FROM pb GROUP BY 1, 2""")
+def _(spark, d):
+    """Where the gap to the benchmark comes from: universes, sizes, weightings, timing, the derivatives filter, and the universe alone."""
+    ctx = _context(spark, d)
+    parts = ad.table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("symbol"))
+    listed = ad.table(spark, d, "lineitem").where("l_returnflag <> 'R'").join(parts, "l_partkey").select(F.to_date("l_shipdate").alias("date"), "symbol").distinct()
+    scenarios = spark.createDataFrame(SCENARIOS, "scenario string, universe string, size string, weighting string, cap double, shift int, derivatives boolean")
+    sizes = materialized(ix.candidates(ctx, _shares(spark, d), min_periods=60), "sizes")
+    weights = materialized(ix.run_scenarios({**ctx, "derivatives": listed}, scenarios, sizes, UNIVERSE, N, MIN_, MOUT), "weights")
+    port = ix.drifting_portfolio(materialized(ser.simple_returns(ctx["bars"]), "returns"), weights, ["scenario"])
+    return _rounded_stats(ix.tracking_stats(ix.in_eras(_versus_market(port, spark, d), ERAS), ["scenario", "era"]))
