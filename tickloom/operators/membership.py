@@ -32,6 +32,37 @@ def changed_snapshots(members: DataFrame, cols: list[str]) -> DataFrame:
     ).where(F.col("_c") == 1).select("index", "snapshot", "members")
 
 
+def set_digests(members: DataFrame, cols: list[str]) -> DataFrame:
+    """(index, snapshot, members, x, s): the size of every list and two order-free sums of the hashes of its members.
+
+    One row stands for a list, however long; members that repeat count once."""
+    h = F.xxhash64(*cols)
+    once = members.select("index", "snapshot", *cols).distinct()
+    return once.groupBy("index", "snapshot").agg(F.count("*").alias("members"), F.bit_xor(h).alias("x"), F.sum(h.cast("decimal(38,0)")).alias("s"))
+
+
+def new_versions(stored: DataFrame, versions: DataFrame) -> DataFrame:
+    """The versions (digests) to store: those of days not stored yet whose list differs from the one before them.
+
+    Versions may be older than what is stored. A version that is not kept equals its predecessor, so each needs only the list
+    right before it, stored or new; nothing else is decided anew.
+    """
+    known = stored.select("index", "snapshot", F.lit(True).alias("_known"))
+    fresh = versions.join(known, ["index", "snapshot"], "left_anti")
+    both = stored.select("index", "snapshot", "members", "x", "s", F.lit(False).alias("_new")).unionByName(
+        fresh.select("index", "snapshot", "members", "x", "s", F.lit(True).alias("_new")))
+    w = W.partitionBy("index").orderBy("snapshot")
+    own = F.struct("members", "x", "s")
+    return both.withColumn("_before", F.lag(own).over(w)).where(F.col("_new") & ~own.eqNullSafe(F.col("_before"))).select("index", "snapshot", "members", "x", "s")
+
+
+def redundant_versions(stored: DataFrame) -> DataFrame:
+    """(index, snapshot) of stored lists that an inserted older version made equal to the one before them."""
+    own = F.struct("members", "x", "s")
+    before = F.lag(own).over(W.partitionBy("index").orderBy("snapshot"))
+    return stored.withColumn("_before", before).where(own.eqNullSafe(F.col("_before"))).select("index", "snapshot")
+
+
 def entries_and_exits(members: DataFrame, name: str = "symbol") -> DataFrame:
     """(index, snapshot, entered, left) for every snapshot after the first."""
     rows = _against_previous(members, [name])
@@ -72,10 +103,27 @@ def identity(members: DataFrame, whole: str, parts: list[str], name: str = "symb
         "ok", (F.col("missing") == 0) & (F.col("extra") == 0))
 
 
-def validate_lists(rows: DataFrame, expected: dict[str, int]) -> DataFrame:
-    """(index, n, ok, reason): expected size, unique symbols, well-formed ISINs."""
+def subset(members: DataFrame, part: str, whole: str, name: str = "symbol") -> DataFrame:
+    """Is one set within another: (outside, ok)."""
+    tagged = members.where(F.col("index").isin(part, whole)).groupBy(name).agg(
+        F.max((F.col("index") == part).cast("int")).alias("p"), F.max((F.col("index") == whole).cast("int")).alias("w"))
+    return tagged.agg(F.count_if((F.col("p") == 1) & (F.col("w") == 0)).alias("outside")).withColumn("ok", F.col("outside") == 0)
+
+
+def candidate_union(*lists: DataFrame, name: str = "symbol") -> DataFrame:
+    """Every name on any of the lists once: those of all reviews and the current members."""
+    out = lists[0].select(name)
+    for other in lists[1:]:
+        out = out.unionByName(other.select(name))
+    return out.distinct()
+
+
+def validate_lists(rows: DataFrame, expected: DataFrame | None = None) -> DataFrame:
+    """(index, n, ok, reason): expected size (index, size), unique symbols, well-formed ISINs."""
     per_symbol = rows.groupBy("index", "symbol").agg(F.count("*").alias("_k"), F.count_if(~F.trim("isin").rlike(ISIN)).alias("_bad"))
     agg = per_symbol.groupBy("index").agg(F.sum("_k").alias("n"), F.max("_k").alias("_dup"), F.sum("_bad").alias("_bad"))
-    want = F.element_at(F.create_map(*[x for k, v in expected.items() for x in (F.lit(k), F.lit(v))]), F.col("index")) if expected else F.lit(None)
+    if expected is not None:
+        agg = agg.join(expected.select("index", F.col("size").alias("_want")), "index", "left")
+    want = F.col("_want") if expected is not None else F.lit(None)
     reason = (F.when(F.col("n") != want, "size").when(F.col("_dup") > 1, "duplicate symbols").when(F.col("_bad") > 0, "malformed ISINs"))
     return agg.select("index", "n", reason.isNull().alias("ok"), F.coalesce(reason, F.lit("")).alias("reason"))

@@ -26,3 +26,8 @@ def best_by(rows: DataFrame, keys: list[str], what: str, metric: str) -> DataFra
     """The entry with the highest metric per key; ties go to the smaller entry."""
     top = F.max_by(F.col(what), F.struct(F.col(metric), -F.col(what)))
     return rows.where(F.col(metric).isNotNull()).groupBy(*keys).agg(top.alias(what), F.max(metric).alias(metric))
+
+
+def worst_contributions(jumps: DataFrame, before: Column, k: int = 25) -> DataFrame:
+    """The ``k`` rows with the lowest contribution before a day, ties by date and name."""
+    return latest_rows(jumps.where(F.col("date") < before), [F.asc("contribution"), F.asc("date"), F.asc("cid")], k)

@@ -7,6 +7,8 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.operators.temporal import asof
+
 
 def walk_forward(rows: DataFrame, train: int, test: int, step: int | None = None, expanding: bool = True) -> DataFrame:
     """(fold, session_no, role) over numbered rows; the training window grows unless ``expanding=False``."""
@@ -38,6 +40,18 @@ def with_horizon(rows: DataFrame, horizon: int) -> DataFrame:
     return rows.withColumn("label_end", F.least(F.col("session_no") + horizon, last))
 
 
+def with_label_dates(rows: DataFrame, ends: DataFrame) -> DataFrame:
+    """Label end as a row number, from a date of its own for each row: the last session on or before it.
+
+    rows: (session_no, date); ends: (date, label_end). A label without an end reaches the last row; none ends before its row.
+    """
+    last = rows.agg(F.max("session_no")).scalar()
+    wanted = rows.join(ends.select("date", F.col("label_end").alias("_until")), "date", "left")
+    found = asof(wanted, rows.select(F.col("date").alias("_d"), F.col("session_no").alias("_no")), [], "_until", "_d", ["_no"])
+    end = F.when(F.col("_until").isNull(), last).otherwise(F.greatest("session_no", F.coalesce("_no", F.col("session_no"))))
+    return found.select("session_no", "date", end.alias("label_end"))
+
+
 def combinatorial(rows: DataFrame, n_groups: int, k_test: int, embargo_pct: float = 0.01) -> DataFrame:
     """(split, session_no, role) for every choice of ``k_test`` of ``n_groups`` groups.
 

@@ -17,6 +17,7 @@ from tickloom.plans.catalog import BARS, BARS6, FLOW, LEDGER, LOGRET, MARKET, SE
 from tickloom.plans.series_queries import DERIVED, MEMBERS
 from tickloom.session import materialized
 from tickloom.sources import adapters as ad
+from tickloom.sources import normalise as nz
 
 POS = f"""{LEDGER}, dpos AS (SELECT book, symbol, date, CAST(sum(CASE side WHEN 'SELL' THEN -qty ELSE qty END) AS BIGINT) AS traded FROM ledger GROUP BY 1, 2, 3),
   pos AS (SELECT *, CAST(sum(traded) OVER (PARTITION BY book, symbol ORDER BY date) AS BIGINT) AS position FROM dpos)"""
@@ -144,23 +145,56 @@ def _(spark, d):
 
 # ---------------------------------------------------------------- membership
 
-WEEKLY = """rm AS (SELECT DISTINCT c_mktsegment AS idx, CAST(date_trunc('week', o_orderdate) AS DATE) AS snapshot, r_name AS symbol FROM orders
-    JOIN customer ON o_custkey = c_custkey JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey),
-  sn AS (SELECT idx, snapshot, lag(snapshot) OVER (PARTITION BY idx ORDER BY snapshot) AS prev, list(symbol ORDER BY symbol) AS l FROM rm GROUP BY 1, 2)"""
+# a list holds every customer of its segment from their first order on, as published at the end of each month
+STANDING = """born AS (SELECT c_mktsegment AS idx, c_name AS symbol, CAST(c_nationkey AS VARCHAR) AS isin, CAST(date_trunc('month', min(o_orderdate)) AS DATE) AS since FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2, 3),
+  months AS (SELECT DISTINCT CAST(date_trunc('month', o_orderdate) AS DATE) AS snapshot FROM orders),
+  sn AS (SELECT idx, snapshot, count(*) AS members FROM born JOIN months ON since <= snapshot GROUP BY 1, 2)"""
 
 
-def _regions(spark, d):
-    orders = ad.table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), F.to_date(F.date_trunc("week", "o_orderdate")).alias("snapshot"))
-    cust = ad.table(spark, d, "customer").select("c_custkey", F.col("c_mktsegment").alias("index"), "c_nationkey")
-    nation = ad.table(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_regionkey").alias("r_regionkey"))
-    region = ad.table(spark, d, "region").select("r_regionkey", F.col("r_name").alias("symbol"))
-    return orders.join(cust, "c_custkey").join(nation, "c_nationkey").join(region, "r_regionkey").select("index", "snapshot", "symbol").distinct()
+def _standing(spark, d):
+    orders = ad.table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), F.trunc("o_orderdate", "month").alias("month"))
+    first = orders.groupBy("c_custkey").agg(F.min("month").alias("since"))
+    cust = ad.table(spark, d, "customer").select("c_custkey", F.col("c_mktsegment").alias("index"), F.col("c_name").alias("symbol"), F.col("c_nationkey").cast("string").alias("isin"))
+    last = orders.agg(F.max("month")).scalar()
+    published = orders.select(F.col("month").alias("snapshot")).distinct()
+    born = first.join(cust, "c_custkey").select("index", "symbol", "isin", F.explode(F.sequence("since", last, F.expr("interval 1 month"))).alias("snapshot"))
+    return born.join(published, "snapshot", "left_semi").select("index", "snapshot", "symbol", "isin")
 
 
-@query("snapshot_on_change", f"""WITH {WEEKLY} SELECT a.idx AS index, a.snapshot, CAST(len(a.l) AS BIGINT) AS members FROM sn a LEFT JOIN sn b ON b.idx = a.idx AND b.snapshot = a.prev
-  WHERE b.l IS NULL OR a.l <> b.l""")
+@query("snapshot_on_change", f"""WITH {STANDING} SELECT idx AS index, snapshot, members FROM (SELECT *, lag(members) OVER (PARTITION BY idx ORDER BY snapshot) AS before FROM sn) WHERE before IS NULL OR members <> before""")
 def _(spark, d):
-    return mb.changed_snapshots(materialized(_regions(spark, d), "members"), ["symbol"])
+    return mb.changed_snapshots(materialized(_standing(spark, d), "members"), ["symbol", "isin"])
+
+
+@query("backdated_snapshots", f"""WITH {STANDING}, kept AS (SELECT *, lag(members) OVER (PARTITION BY idx ORDER BY snapshot) AS before FROM sn WHERE month(snapshot) % 2 = 0),
+  stored AS (SELECT idx, snapshot, members FROM kept WHERE before IS NULL OR members <> before), late AS (SELECT idx, snapshot, members FROM sn WHERE month(snapshot) % 2 = 1),
+  both_ AS (SELECT *, lag(members) OVER (PARTITION BY idx ORDER BY snapshot) AS before FROM (SELECT *, false AS new FROM stored UNION ALL SELECT *, true FROM late))
+  SELECT idx AS index, snapshot, members, new AS inserted, before IS NOT DISTINCT FROM members AS redundant FROM both_ WHERE NOT new OR before IS NULL OR members <> before""")
+def _(spark, d):
+    """Lists of even months are stored on change; those of odd months come later and find their place among them."""
+    digests = materialized(mb.set_digests(_standing(spark, d), ["symbol", "isin"]), "digests")
+    even = F.month("snapshot") % 2 == 0
+    stored = materialized(mb.new_versions(digests.limit(0), digests.where(even)), "stored")
+    late = mb.new_versions(stored, digests.where(~even))
+    now = stored.withColumn("inserted", F.lit(False)).unionByName(late.withColumn("inserted", F.lit(True)))
+    twice = mb.redundant_versions(now).withColumn("redundant", F.lit(True))
+    return now.join(twice, ["index", "snapshot"], "left").select("index", "snapshot", "members", "inserted", F.coalesce("redundant", F.lit(False)).alias("redundant"))
+
+
+@query("candidate_union", f"""WITH {MEMBERS} SELECT DISTINCT symbol FROM members WHERE month(snapshot) IN (6, 12) UNION SELECT c_name FROM customer WHERE c_acctbal > 5000""")
+def _(spark, d):
+    """Every name of a half-yearly review, and the current members."""
+    reviews = ad.member_rows(spark, d).where(F.month("snapshot").isin(6, 12))
+    return mb.candidate_union(reviews, ad.table(spark, d, "customer").where("c_acctbal > 5000").select(F.col("c_name").alias("symbol")))
+
+
+@query("set_subset", f"""WITH {MEMBERS}, top AS (SELECT DISTINCT c_mktsegment AS idx, c_name AS symbol FROM customer WHERE c_acctbal > 0)
+  SELECT count(*) AS outside, count(*) = 0 AS ok FROM (SELECT DISTINCT symbol FROM members WHERE idx = 'BUILDING') m WHERE symbol NOT IN (SELECT symbol FROM top WHERE idx = 'BUILDING')""")
+def _(spark, d):
+    """Are all members of a list on the broader one."""
+    broad = ad.table(spark, d, "customer").where("c_acctbal > 0 AND c_mktsegment = 'BUILDING'").select(F.lit("BROAD").alias("index"), F.col("c_name").alias("symbol"))
+    own = ad.member_rows(spark, d).where("index = 'BUILDING'").select("index", "symbol")
+    return mb.subset(own.unionByName(broad), "BUILDING", "BROAD")
 
 
 @query("entries_and_exits", f"""WITH {MEMBERS}, o AS (SELECT idx, snapshot, lag(snapshot) OVER (PARTITION BY idx ORDER BY snapshot) AS prev FROM (SELECT DISTINCT idx, snapshot FROM members))
@@ -187,13 +221,57 @@ def _(spark, d):
     return mb.identity(ad.member_rows(spark, d).withColumn("symbol", F.col("isin")), "BUILDING", ["MACHINERY", "FURNITURE"])
 
 
-@query("list_validation", """WITH t AS (SELECT c_mktsegment AS idx, c_name AS symbol, CASE WHEN c_acctbal < 0 THEN 'BAD' ELSE 'IN' || lpad(CAST(c_custkey AS VARCHAR), 10, '0') END AS isin FROM customer)
-  SELECT idx AS index, count(*) AS n, count(*) FILTER (NOT regexp_full_match(isin, 'IN[A-Z0-9]{10}')) = 0 AND count(DISTINCT symbol) = count(*) AS ok,
-    CASE WHEN count(DISTINCT symbol) <> count(*) THEN 'duplicate symbols' WHEN count(*) FILTER (NOT regexp_full_match(isin, 'IN[A-Z0-9]{10}')) > 0 THEN 'malformed ISINs' ELSE '' END AS reason FROM t GROUP BY 1""")
+LISTED = """t AS (SELECT c_mktsegment AS idx, c_name AS symbol, CASE WHEN c_acctbal < 0 THEN 'BAD' ELSE 'IN' || lpad(CAST(c_custkey AS VARCHAR), 10, '0') END AS isin FROM customer)"""
+# the size each list should have: that of the customers in good standing, but for one segment, which must have all
+SIZES = "want AS (SELECT c_mktsegment AS idx, count(*) FILTER (c_acctbal >= 0 OR c_mktsegment = 'MACHINERY') AS size FROM customer GROUP BY 1)"
+
+
+def _isin():
+    return F.when(F.col("c_acctbal") < 0, "BAD").otherwise(F.concat(F.lit("IN"), F.lpad(F.col("c_custkey").cast("string"), 10, "0")))
+
+
+def _sizes(spark, d):
+    good = (F.col("c_acctbal") >= 0) | (F.col("c_mktsegment") == "MACHINERY")
+    return ad.table(spark, d, "customer").groupBy(F.col("c_mktsegment").alias("index")).agg(F.count_if(good).alias("size"))
+
+
+@query("list_validation", f"""WITH {LISTED}, {SIZES} SELECT idx AS index, count(*) AS n, reason = '' AS ok, reason FROM (SELECT t.idx, CASE WHEN count(*) OVER p <> size THEN 'size'
+    WHEN count(*) FILTER (NOT regexp_full_match(isin, 'IN[A-Z0-9]{{10}}')) OVER p > 0 THEN 'malformed ISINs' ELSE '' END AS reason FROM t JOIN want USING (idx)
+    WHERE idx <> 'FURNITURE' OR isin <> 'BAD' WINDOW p AS (PARTITION BY t.idx)) GROUP BY 1, 4""")
+def _(spark, d):
+    rows = ad.table(spark, d, "customer").select(F.col("c_mktsegment").alias("index"), F.col("c_name").alias("symbol"), _isin().alias("isin"))
+    return mb.validate_lists(rows.where("index <> 'FURNITURE' OR isin <> 'BAD'"), _sizes(spark, d))
+
+
+def _list_files(spark, d):
+    """One text per segment: columns in either order, one file that is a page, one without a heading, one of a wrong size."""
+    isin, name = _isin(), F.col("c_name")
+    seg = F.col("c_mktsegment")
+    line = F.when(seg == "BUILDING", F.concat(F.lit('"Firm, '), name, F.lit('", x ,'), name, F.lit(",EQ, "), isin)).otherwise(F.concat(isin, F.lit(","), name, F.lit(",Firm of "), name))
+    # the Company Name heading comes first in every list
+    line = F.when(seg == "BUILDING", line).otherwise(F.concat(F.lit("Firm "), name, F.lit(","), isin, F.lit(" , "), name))
+    head = (F.when(seg == "BUILDING", "Company Name,Industry,Symbol,Series,ISIN Code").when(seg == "HOUSEHOLD", "<html>Company Name").when(seg == "MACHINERY", "Company Name,ISIN Code,Ticker")
+            .otherwise(" Company Name,ISIN Code , Symbol"))
+    rows = ad.table(spark, d, "customer").where("c_acctbal >= 0").select(seg.alias("index"), head.alias("head"), F.col("c_custkey").alias("k"), line.alias("line"))
+    text = F.concat(F.col("head"), F.lit("\r\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "line"))), lambda x: x["line"]), "\r\n"), F.lit("\n\n"))
+    return rows.groupBy("index", "head").agg(text.alias("text")).select("index", "text")
+
+
+def _lists(spark, d):
+    sizes = _sizes(spark, d).withColumn("size", F.when(F.col("index") == "AUTOMOBILE", F.col("size") + 1).otherwise(F.col("size")))
+    return nz.constituent_lists(_list_files(spark, d), sizes)
+
+
+@query("list_rows", f"""WITH {LISTED} SELECT idx AS index, CASE WHEN idx = 'BUILDING' THEN 'Firm, ' || symbol ELSE 'Firm ' || symbol END AS company, CASE WHEN idx = 'BUILDING' THEN 'x' END AS industry, symbol,
+  CASE WHEN idx = 'BUILDING' THEN 'EQ' END AS series, isin FROM t WHERE isin <> 'BAD' AND idx IN ('BUILDING', 'FURNITURE')""")
+def _(spark, d):
+    return _lists(spark, d)[0]
+
+
+@query("list_rejects", """SELECT c_mktsegment AS index, CASE c_mktsegment WHEN 'HOUSEHOLD' THEN 'not a constituent file' WHEN 'MACHINERY' THEN 'unexpected columns'
+    ELSE count(*) || ' constituents, expected ' || (count(*) + 1) END AS reason FROM customer WHERE c_acctbal >= 0 AND c_mktsegment IN ('HOUSEHOLD', 'MACHINERY', 'AUTOMOBILE') GROUP BY 1""")
 def _(spark, d):
-    isin = F.when(F.col("c_acctbal") < 0, "BAD").otherwise(F.concat(F.lit("IN"), F.lpad(F.col("c_custkey").cast("string"), 10, "0")))
-    rows = ad.table(spark, d, "customer").select(F.col("c_mktsegment").alias("index"), F.col("c_name").alias("symbol"), isin.alias("isin"))
-    return mb.validate_lists(rows, {})
+    return _lists(spark, d)[1]
 
 
 # ---------------------------------------------------------------- flows and quality

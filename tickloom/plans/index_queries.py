@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tickloom.functions import calendar as cal
 from tickloom.operators import index as ix
 from tickloom.operators import series as ser
-from tickloom.operators.ranking import top_n
+from tickloom.operators.ranking import worst_contributions
 from tickloom.plans.action_queries import market_actions
 from tickloom.plans.catalog import BARS, MARKET, SESS, SIMPLE, query, r, rnd, rounded_columns
 from tickloom.operators import corpactions as ca
@@ -280,6 +280,17 @@ def _(spark, d):
     return rounded_columns(ix.held_jumps(total, hold, audited))
 
 
+@query("worst_contributions", f"""WITH RECURSIVE {DRIFT} SELECT date, cid, {r('ret * weight')} AS contribution FROM hold JOIN rets USING (cid, date) WHERE date < DATE '1999-01-01' AND abs(ret) > 0.2
+  ORDER BY ret * weight, date, cid LIMIT 25""")
+def _(spark, d):
+    """The 25 held moves beyond a fifth that cost most before 1999."""
+    ctx = _context(spark, d)
+    tr = materialized(ser.simple_returns(ctx["bars"]), "returns")
+    hold = ix.start_holdings(tr, _reviews(ctx).select("strategy", "effective", "cid", "weight"), ["strategy"])
+    moved = hold.join(tr.where(F.abs("ret") > 0.2), ["cid", "date"]).select("date", "cid", (F.col("weight") * F.col("ret")).alias("contribution"))
+    return rounded_columns(worst_contributions(moved, F.lit("1999-01-01").cast("date")))
+
+
 @query("dividend_yield", f"""WITH RECURSIVE {DRIFT}, dv AS (SELECT p_brand AS cid, DATE '1995-01-02' + CAST(p_partkey * 17 % 2499 AS INTEGER) AS date,
     CAST(sum(p_size) AS DOUBLE) AS dividend FROM part GROUP BY 1, 2),
   tt AS (SELECT b.cid, b.date, coalesce(dv.dividend, 0) / lag(close) OVER (PARTITION BY b.cid ORDER BY b.date) AS y FROM bars b LEFT JOIN dv ON dv.cid = b.cid AND dv.date = b.date)

@@ -120,6 +120,19 @@ def _(spark, d):
     return nz.ohlcv(raw).select("key", "date", "close", "volume")
 
 
+ZONES = [("click", "Pacific/Auckland"), ("view", "America/New_York"), ("error", "Asia/Kolkata"), ("purchase", None), ("signup", "Pacific/Honolulu")]
+ZONE_SQL = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{z}'" for k, z in ZONES if z) + " ELSE 'UTC' END"
+
+
+@query("ohlcv_local", f"""WITH x AS (SELECT event_type AS key, CAST((ts AT TIME ZONE 'UTC') AT TIME ZONE ({ZONE_SQL}) AS DATE) AS date, max_by(value, event_id) AS close, max_by(CASE WHEN event_type = 'view' THEN 0.0 ELSE value END, event_id) AS volume FROM events GROUP BY 1, 2)
+  SELECT key, date, close, CAST(CASE WHEN max(volume) OVER (PARTITION BY key) > 0 THEN volume END AS DOUBLE) AS volume FROM x""")
+def _(spark, d):
+    """Moments in UTC cut into days by each series' own clock, over the date line and over clock changes."""
+    v = F.when(F.col("event_type") == "view", 0.0).otherwise(F.col("value"))
+    raw = ad.table(spark, d, "events").select(F.col("event_type").alias("key"), F.col("ts").cast("timestamp").alias("date"), F.col("value").alias("close"), v.alias("volume"), F.col("event_id").alias("seq"), "props")
+    return nz.ohlcv(raw, zones=spark.createDataFrame(ZONES, "key string, zone string")).select("key", "date", "close", "volume")
+
+
 @query("tri_payloads", "SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) AS date, o_totalprice AS tri FROM orders WHERE o_orderstatus <> 'P'")
 def _(spark, d):
     o = ad.table(spark, d, "orders")
@@ -217,6 +230,71 @@ def _(spark, d):
     return st.scan_years(spark, root, "1996-06-15", "1998-02-10", ["symbol", "date", "close"])
 
 
+@query("year_upsert", f"""WITH {BARS6}, old AS (SELECT *, volume AS c FROM bars WHERE day(date) <= 20), span AS (SELECT * FROM bars WHERE date BETWEEN DATE '1996-06-01' AND DATE '1998-03-31'),
+  new AS (SELECT cid, date, 7 + volume AS c FROM span WHERE dayofweek(date) BETWEEN 1 AND 5 AND day(date) <> 28 AND date NOT IN (SELECT date FROM old))
+  SELECT CAST(year(date) AS BIGINT) AS year, count(*) AS n, CAST(sum(c) AS BIGINT) AS volume FROM (SELECT cid, date, c FROM old UNION ALL SELECT * FROM new) GROUP BY 1""")
+def _(spark, d):
+    """Days up to the 20th are stored; a fetch of two years brings all its days, with other values, and is merged twice."""
+    root = scratch_path(spark, "upsert")
+    bars = ad.type_bars_table(spark, d).select(F.col("cid").alias("symbol"), F.lit("EQ").alias("series"), "date", "volume")
+    st.write_years(bars.where(F.day("date") <= 20), root)
+    fetched = bars.where("date BETWEEN DATE '1996-06-01' AND DATE '1998-03-31'").withColumn("volume", F.col("volume") + 7)
+    holidays = bars.where(F.day("date") == 28).select("date").distinct()
+    bounds = spark.sql("SELECT DATE '1996-06-01' AS start, DATE '1998-03-31' AS end")
+    for _ in range(2):
+        st.upsert_years(root, fetched, holidays, bounds)
+    return spark.read.parquet(root).groupBy(F.col("year").cast("long").alias("year")).agg(F.count("*").alias("n"), F.sum("volume").alias("volume"))
+
+
+@query("rebuild_on_change", """WITH o AS (SELECT year(o_orderdate) AS y, CAST(round(o_totalprice * 100) AS BIGINT) AS c, o_orderstatus AS st FROM orders)
+  SELECT CAST(y AS BIGINT) AS year, count(*) AS n, CAST(sum(c) AS BIGINT) AS cents, CAST(CASE WHEN y = 1996 THEN 2 ELSE 1 END AS BIGINT) AS builds FROM o WHERE st = 'F' OR y = 1996 GROUP BY 1, 4""")
+def _(spark, d):
+    """A folder of raw files by year is curated; then a file lands in one year, and the third run finds nothing to do."""
+    raw, curated = scratch_path(spark, "raw"), scratch_path(spark, "curated")
+    rows = ad.table(spark, d, "orders").select(F.year("o_orderdate").alias("year"), ad.cents("o_totalprice").alias("cents"), "o_orderstatus")
+    build = lambda df: df.groupBy("year").agg(F.count("*").alias("n"), F.sum("cents").alias("cents"))
+    builds = []
+    for landed in (rows.where("o_orderstatus = 'F'"), rows.where("o_orderstatus <> 'F' AND year = 1996"), None):
+        if landed is not None:
+            landed.write.mode("append").partitionBy("year").parquet(raw)
+        builds += st.rebuild_changed(spark, raw, curated, "year", build)
+    count = spark.createDataFrame([(int(y),) for y in builds], "year int").groupBy("year").agg(F.count("*").alias("builds"))
+    return spark.read.parquet(curated).join(count, "year").select(F.col("year").cast("long").alias("year"), "n", "cents", "builds")
+
+
+@query("log_returns_curated", f"""WITH {BARS} SELECT cid, date, {r("ln(close / lag(close) OVER (PARTITION BY cid ORDER BY date))")} AS ret FROM bars
+  QUALIFY ret IS NOT NULL""")
+def _(spark, d):
+    """From a named table, bucketed by key: the window needs no exchange."""
+    from tickloom.operators import series as ser
+
+    st.save_curated(ad.bars(spark, d).select("cid", "date", "close"), "curated_bars", buckets=8)
+    return rounded_columns(ser.log_returns(st.read_curated(spark, "curated_bars", ["cid", "date", "close"]), calendar="own"))
+
+
+@query("reference_scan", """SELECT CAST(o_orderdate AS DATE) AS date, CAST(max(CAST(round(o_totalprice) AS BIGINT)) AS DOUBLE) AS tri FROM orders WHERE o_orderdate < DATE '1997-01-01' GROUP BY 1""")
+def _(spark, d):
+    """A reference index kept as CSV, cut at the start of a holdout."""
+    root = scratch_path(spark, "reference")
+    day = F.to_date("o_orderdate").alias("date")
+    ad.table(spark, d, "orders").groupBy(day).agg(F.max(F.round("o_totalprice").cast("long")).cast("double").alias("tri")).write.option("header", True).csv(root)
+    return st.dev_slice(st.scan_reference(spark, root), F.lit("1997-01-01").cast("date"))
+
+
+@query("action_scan", """SELECT 'S' || p_partkey AS symbol, CAST(p_size AS DOUBLE) AS value, CASE WHEN p_size % 3 = 0 THEN '' ELSE 'Dividend, Rs ' || p_size END AS subject,
+  DATE '1995-01-02' + CAST(p_partkey % 900 AS INTEGER) AS ex_date FROM part WHERE DATE '1995-01-02' + CAST(p_partkey % 900 AS INTEGER) BETWEEN DATE '1995-06-01' AND DATE '1996-05-31'""")
+def _(spark, d):
+    """Actions kept as CSV, a third of them without a subject, in a window of a year."""
+    root = scratch_path(spark, "actions")
+    rows = ad.table(spark, d, "part").select(
+        F.concat(F.lit("S"), "p_partkey").alias("symbol"), F.lit("EQ").alias("series"), F.lit(None).cast("string").alias("isin"),
+        F.date_add(F.lit("1995-01-02").cast("date"), (F.col("p_partkey") % 900).cast("int")).alias("ex_date"), F.lit("dividend").alias("kind"), F.col("p_size").cast("double").alias("value"),
+        F.when(F.col("p_size") % 3 != 0, F.concat(F.lit("Dividend, Rs "), F.col("p_size").cast("string"))).alias("subject"))
+    rows.write.option("header", True).csv(root)
+    found = st.window_slice(st.scan_actions(spark, root).withColumn("date", F.col("ex_date")), F.lit("1995-06-01").cast("date"), F.lit("1996-05-31").cast("date"))
+    return found.select("symbol", "value", "subject", "ex_date")
+
+
 @query("csv_store", f"WITH {BARS6} SELECT cid, date, volume FROM bars")
 def _(spark, d):
     root = scratch_path(spark, "csv")

@@ -151,9 +151,11 @@ def _(spark, d):
     return out.withColumn("fold", F.col("fold").cast("long"))
 
 
-def _cv_sql(k: int, combos: str, horizon: int) -> str:
-    return f"""{MARKET}, {SESS.replace('FROM bars', 'FROM mkt')}, i AS (SELECT CAST(session_no AS BIGINT) AS i, count(*) OVER () AS n FROM sess),
-  le AS (SELECT i, n, least(i + {horizon}, n - 1) AS le, CASE WHEN i < (n % {k}) * (n // {k} + 1) THEN i // (n // {k} + 1)
+def _cv_sql(k: int, combos: str, horizon: int | str) -> str:
+    """``horizon``: rows, or the row number of a label's end as an expression over i and n."""
+    end = f"least(i + {horizon}, n - 1)" if isinstance(horizon, int) else horizon
+    return f"""{MARKET}, {SESS.replace('FROM bars', 'FROM mkt')}, i AS (SELECT CAST(session_no AS BIGINT) AS i, date, count(*) OVER () AS n FROM sess),
+  le AS (SELECT i, n, {end} AS le, CASE WHEN i < (n % {k}) * (n // {k} + 1) THEN i // (n // {k} + 1)
     ELSE n % {k} + (i - (n % {k}) * (n // {k} + 1)) // (n // {k}) END AS g FROM i),
   b AS (SELECT g, min(i) AS t0, max(i) AS t1, max(le) AS reach FROM le GROUP BY 1), {combos},
   cb AS (SELECT split, t0, t1, reach FROM co JOIN b USING (g)),
@@ -178,6 +180,28 @@ def _(spark, d):
     return splits.combinatorial(rows, 6, 2).withColumn("split", F.col("split").cast("long"))
 
 
+# labels that end on dates of their own: some on no session, some before their row, some unknown
+UNTIL = "CASE WHEN day(date) % 11 = 0 THEN NULL WHEN day(date) % 13 = 0 THEN date - 3 ELSE date + CAST(day(date) * 7 % 45 AS INTEGER) END"
+BY_DATE = f"CASE WHEN ({UNTIL}) IS NULL THEN n - 1 ELSE greatest(i, (SELECT count(*) - 1 FROM sess s WHERE s.date <= ({UNTIL.replace('date', 'i.date').replace('i.date)', 'i.date)')}))) END"
+
+
+def _labelled(spark, d):
+    rows = materialized(cal.number_sessions(ad.market_close(spark, d)).select("session_no", "date"), "rows")
+    day = F.day("date")
+    until = F.when(day % 11 == 0, None).when(day % 13 == 0, F.date_sub("date", 3)).otherwise(F.date_add("date", day * 7 % 45))
+    return splits.with_label_dates(rows, rows.select("date", until.alias("label_end")))
+
+
+@query("purged_by_date", f"WITH {_cv_sql(5, 'co AS (SELECT CAST(k AS BIGINT) AS split, k AS g FROM range(0, 5) x(k))', BY_DATE)}")
+def _(spark, d):
+    return splits.purged_kfold(_labelled(spark, d), 5).withColumn("split", F.col("split").cast("long"))
+
+
+@query("cpcv_by_date", f"WITH {_cv_sql(6, CPCV, BY_DATE)}")
+def _(spark, d):
+    return splits.combinatorial(_labelled(spark, d), 6, 2).withColumn("split", F.col("split").cast("long"))
+
+
 GRID = [20, 50, 100, 150, 200]
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -108,14 +108,69 @@ def observations(raw: DataFrame, key: str = "key") -> DataFrame:
     return keep_last(typed.where(F.col("close").isNotNull()), [key, "date"], ["seq"]).drop("seq")
 
 
-def ohlcv(raw: DataFrame, key: str = "key") -> DataFrame:
-    """Local trading dates; a series whose volume is always zero carries none; the last row of a day wins."""
-    typed = raw.withColumn("date", F.to_date("date"))
+OHLCV = ("open", "high", "low", "close", "volume")
+
+
+def ohlcv(raw: DataFrame, key: str = "key", zones: DataFrame | None = None) -> DataFrame:
+    """Bars by local trading date, with the price columns that the source has; a series whose volume is always zero carries
+    none; the last row of a day wins.
+
+    ``zones``: (key, zone), the registry's time zones, for sources whose ``date`` is a moment in UTC: the day is that of the clock
+    where the series trades. A key without a zone keeps the day of UTC."""
+    if zones is None:
+        local = F.to_date("date")
+    else:
+        raw = raw.join(zones.select(key, F.coalesce("zone", F.lit("UTC")).alias("_zone")), key, "left")
+        local = F.to_date(F.from_utc_timestamp("date", F.coalesce("_zone", F.lit("UTC"))))
+    typed = raw.select(key, local.alias("date"), *[c for c in OHLCV if c in raw.columns], "seq")
     one = keep_last(typed, [key, "date"], ["seq"]).drop("seq")
+    if "volume" not in raw.columns:
+        return one
     traded = one.groupBy(key).agg(F.max(F.coalesce("volume", F.lit(0.0))).alias("_v"))
     return one.join(traded, key).withColumn("volume", F.when(F.col("_v") > 0, F.col("volume"))).drop("_v")
 
 
+# Headings of the published lists.
+LIST_COLUMNS = {"Company Name": "company", "Industry": "industry", "Symbol": "symbol", "Series": "series", "ISIN Code": "isin"}
+LIST_NEEDS = ("Company Name", "Symbol", "ISIN Code")
+
+
+def constituent_lists(raw: DataFrame, expected: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Published lists (index, text) -> (rows, rejects): index and the known columns of the good lists, and (index, reason) of
+    the others.
+
+    Columns go by their headings, in any order. A list is refused whole: for a wrong first line, missing headings, a line that
+    does not fit the headings, another size than in ``expected`` (index, size), repeated symbols or malformed ISINs.
+    """
+    lines = raw.select("index", F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"\r", ""), "\n").alias("_l"))
+    heads = F.transform(F.split(F.get("_l", F.lit(0)), ","), lambda h: F.trim(h))
+    lines = lines.select("index", F.col("_l"), heads.alias("_h"), F.expr("ltrim(_l[0]) LIKE 'Company Name%'").alias("_list"))
+    needs = F.array(*[F.lit(c) for c in LIST_NEEDS])
+    lines = lines.withColumn("_whole", F.size(F.array_except(needs, "_h")) == 0)
+    body = lines.where("_list AND _whole").select("index", "_h", F.explode(F.slice("_l", 2, F.greatest(F.size("_l") - 1, F.lit(1)))).alias("line")).where("trim(line) <> ''")
+    cells = F.from_csv(F.col("line"), F.lit(", ".join(f"c{i} string" for i in range(12)) + ", bad string"), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "bad", "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"})
+    body = body.withColumn("_c", cells)
+    values = F.array(*[F.col(f"_c.c{i}") for i in range(12)])
+    fits = F.size(F.filter(values, lambda v: v.isNotNull())) <= F.size("_h")
+
+    def cell(heading: str) -> Column:
+        at = F.array_position("_h", heading)
+        return F.when(at > 0, F.trim(F.get(values, (at - 1).cast("int"))))
+
+    rows = body.select("index", fits.alias("_fits"), *[cell(h).alias(c) for h, c in LIST_COLUMNS.items()])
+    rows = rows.withColumn("_fits", F.col("_fits") & F.col("company").isNotNull() & F.col("symbol").isNotNull() & F.col("isin").isNotNull())
+    per_symbol = rows.groupBy("index", "symbol").agg(F.count("*").alias("_k"), F.count_if(~F.col("_fits")).alias("_odd"), F.count_if(~F.coalesce(F.col("isin").rlike("^IN[A-Z0-9]{10}$"), F.lit(False))).alias("_bad"))
+    found = per_symbol.groupBy("index").agg(F.sum("_k").alias("_n"), F.max("_k").alias("_dup"), F.sum("_odd").alias("_odd"), F.sum("_bad").alias("_bad"))
+    judged = lines.select("index", "_list", "_whole").join(found, "index", "left").join(expected.select("index", F.col("size").alias("_want")), "index", "left")
+    n = F.coalesce("_n", F.lit(0))
+    reason = (F.when(~F.col("_list"), "not a constituent file").when(~F.col("_whole"), "unexpected columns").when(F.col("_odd") > 0, "malformed line")
+              .when(F.col("_want").isNull(), "unknown index").when(n != F.col("_want"), F.concat(n.cast("string"), F.lit(" constituents, expected "), F.col("_want").cast("string")))
+              .when(F.col("_dup") > 1, "duplicate symbols").when(F.col("_bad") > 0, "malformed ISINs"))
+    judged = judged.select("index", reason.alias("reason"))
+    good = rows.drop("_fits").join(judged.where("reason IS NULL").select("index"), "index", "left_semi")
+    return good, judged.where("reason IS NOT NULL")
+
+
 TRI_ROW = T.ArrayType(T.StructType([T.StructField("Index Name", T.StringType()), T.StructField("Date", T.StringType()),
                                     T.StructField("TotalReturnsIndex", T.StringType())]))
 

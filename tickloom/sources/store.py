@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions import calendar as cal
+from tickloom.session import materialized, scratch_path
 
 
 def write_snapshot(df: DataFrame, root: str) -> None:
@@ -60,9 +63,22 @@ def missing_days(stored: DataFrame, holidays: DataFrame, bounds: DataFrame) -> D
     return days.join(stored.select("date").distinct(), "date", "left_anti").join(holidays.select("date").distinct(), "date", "left_anti")
 
 
-def upsert_years(existing: DataFrame, incoming: DataFrame, todo: DataFrame) -> DataFrame:
-    """Stored rows plus the incoming rows of days still missing."""
-    return existing.unionByName(incoming.join(todo, "date", "left_semi"))
+def upsert_years(root: str, incoming: DataFrame, holidays: DataFrame, bounds: DataFrame) -> DataFrame:
+    """Merge incoming days into a table of years and return (year, days): the days that each rewritten year gained.
+
+    Only weekdays inside the bounds that are neither stored nor holidays are taken, and only the years that gain a day are
+    written; the files of the others stay as they are. Run again, nothing is left to add and nothing is written.
+    """
+    spark = incoming.sparkSession
+    stored = spark.read.parquet(root)
+    todo = missing_days(stored, holidays, bounds)
+    new = materialized(incoming.join(todo, "date", "left_semi").withColumn("year", F.year("date")), "incoming")
+    gained = materialized(new.groupBy("year").agg(F.count_distinct("date").alias("days")), "gained")
+    years = [r["year"] for r in gained.select("year").collect()]  # one a year
+    if years:
+        kept = stored.where(F.col("year").isin(years)).select(*incoming.columns)
+        write_years(materialized(kept.unionByName(new.drop("year")), "merged"), root)
+    return gained
 
 
 def write_years(df: DataFrame, root: str) -> None:
@@ -137,10 +153,68 @@ def dev_slice(rows: DataFrame, holdout: Column) -> DataFrame:
     return rows.where(F.col("date") < holdout)
 
 
-def fingerprint(paths: DataFrame, path: str = "path") -> DataFrame:
-    """Order-free fingerprint of a file list: count and two sums of hashes, so files combine in any order."""
-    h = F.xxhash64(path)
-    return paths.distinct().agg(F.count("*").alias("n"), F.bit_xor(h).alias("x"), F.sum(F.pmod(h, F.lit(1_000_000_007))).alias("s"))
+def file_fingerprints(spark: SparkSession, root: str, part: str) -> DataFrame:
+    """(part, n, x, s): an order-free fingerprint of the files of each partition folder ``part=...`` of a folder, from their
+    names, sizes and times of change; no file is opened."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(root)
+    h = F.xxhash64("path", "length", "modificationTime")
+    named = files.select(F.regexp_extract("path", f"/{part}=([^/]*)/", 1).alias("part"), h.alias("h"))
+    return named.groupBy("part").agg(F.count("*").alias("n"), F.bit_xor("h").alias("x"), F.sum(F.pmod("h", F.lit(1_000_000_007))).alias("s"))
+
+
+def rebuild_changed(spark: SparkSession, raw: str, curated: str, part: str, build: Callable[[DataFrame], DataFrame]) -> list[str]:
+    """Bring a curated table up to date with a raw one, both partitioned by ``part``, and return the rebuilt partitions.
+
+    The fingerprints that the curated table was built from lie beside it. Only partitions whose files are other ones than
+    then are built again; partitions that are gone from the raw table are not touched. The fingerprints are written last, so
+    a run that broke off is made up for by the next.
+    """
+    now = materialized(file_fingerprints(spark, raw, part), "prints")
+    beside = f"{curated.rstrip('/')}-built-from"
+    before = spark.read.schema(now.schema).parquet(beside) if _exists(spark, beside) else now.limit(0)
+    changed = now.join(before, now.columns, "left_anti").select("part")
+    parts = sorted(r["part"] for r in changed.collect())  # one a partition folder
+    if parts:
+        rows = build(spark.read.parquet(raw).where(F.col(part).cast("string").isin(parts)))
+        write_partition(rows, curated, [part])
+        now.write.mode("overwrite").parquet(beside)
+    return parts
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(place)
+
+
+def save_curated(df: DataFrame, name: str, key: str = "cid", order: str = "date", buckets: int = 32) -> DataFrame:
+    """Write a named table, bucketed by key and sorted by ``order``, in the shared folder, and return it.
+
+    Windows and joins on the key find its rows together and need no exchange."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key, order).option("path", path).saveAsTable(name)
+    return read_curated(spark, name)
+
+
+def read_curated(spark: SparkSession, name: str, columns: list[str] | None = None) -> DataFrame:
+    table = spark.table(name)
+    return table.select(*columns) if columns else table
+
+
+def window_slice(rows: DataFrame, start: Column, end: Column) -> DataFrame:
+    """The rows of a date window, both ends included."""
+    return rows.where(F.col("date").between(start, end))
+
+
+def scan_reference(spark: SparkSession, path: str) -> DataFrame:
+    """(date, tri) of a reference index kept as CSV."""
+    return spark.read.option("header", True).schema("date DATE, tri DOUBLE").csv(path)
+
+
+def scan_actions(spark: SparkSession, path: str) -> DataFrame:
+    """Corporate actions kept as CSV; a missing subject is the empty text."""
+    rows = spark.read.option("header", True).schema("symbol STRING, series STRING, isin STRING, ex_date DATE, kind STRING, value DOUBLE, subject STRING").csv(path)
+    return rows.fillna("", ["subject"])
 
 
 def trial_log(lines: DataFrame, params: str, metrics: str, line: str = "value") -> dict[str, DataFrame]:
