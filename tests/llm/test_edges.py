@@ -167,3 +167,14 @@ def test_terms_far_from_their_entity(spark):
     assert len(zorro) == 2 and zorro[1].start() - text.index("z@x.org") > 400
     assert all(want <= set(s.split(",")) for i, s in spans if i in (0, 1, 5, None)) and all(s == "" for i, s in spans if i in (6, 39))
     assert len({s for i, s in spans if i in (0, None)}) == 1
+
+
+def test_repeated_rows_count_once_for_personal_terms(spark):
+    rng = __import__("random").Random(9)
+    words = [f"{a}{b}{c}" for a in "bdfgk" for b in "aeiou" for c in ("lm", "rt", "st", "nd")]
+    rows = [(i, " ".join(rng.choices(words, k=12)) + (" the heron of Lund hides ann.x@mail.org" if i % 7 == 0 else "")) for i in range(42)]
+    plain = {r.doc_id: r.spans for r in sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert any("removed" in s for s in plain.values())
+    for repeated in (rows * 2, rows + [r for r in rows if r[0] % 7 == 0] * 5, rows + rows[1:2] * 30):
+        found = sanitise(spark.createDataFrame(repeated, "doc_id long, text string")).collect()
+        assert len(found) == len(repeated) and all(plain[r.doc_id] == r.spans for r in found)

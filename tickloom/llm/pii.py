@@ -118,7 +118,8 @@ def entities(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
 def disclosing(mentions: DataFrame, held: DataFrame, docs: DataFrame, text: str, generalise: float, remove: float, support: int) -> DataFrame:
     """(kind, value, term, removed) of the terms that reveal an entity; all counts are over whole documents.
 
-    mentions: (kind, value, doc) of the entities of each document, held: the rows that have any."""
+    mentions: (kind, value, doc) of the entities of each document, held: the documents that have any; ``docs`` and ``held`` have
+    each document once."""
     n = docs.count()
     holders = held.groupBy(F.struct("doc_id", "text_hash").alias("doc")).agg(F.first("terms").alias("terms"))
     of_entity = mentions.groupBy("kind", "value").agg(F.count("*").alias("n_e"))
@@ -172,6 +173,11 @@ def sanitise(docs: DataFrame, generalise: float = GENERALISE, remove: float = RE
     # a document is its id and text, however often the row is repeated
     doc = F.struct("doc_id", "text_hash").alias("doc")
     held = rows.filter("every is not null")
+    # where rows repeat, all counts take each document once; without repeats no text needs to move for that
+    if not rows.groupBy("doc_id", "text_hash").count().filter("count > 1").isEmpty():
+        held = materialized(held.dropDuplicates(["doc_id", "text_hash"]), "held")
+        docs = docs.select(F.col(doc_id).alias(doc_id), F.col(text).alias(text)).withColumn("_hash", F.xxhash64(text_of(text)))
+        docs = materialized(docs.dropDuplicates([doc_id, "_hash"]).drop("_hash"), "once")
     mentions = materialized(held.select(doc, F.explode("every").alias("e")).select("doc", "e.kind", "e.value").distinct(), "mentions")
     flagged = materialized(disclosing(mentions, held, docs, text, generalise, remove, support), "flagged")
     asked = mentions.join(flagged.hint("shuffle_merge"), ["kind", "value"]).groupBy("doc", "term").agg(F.max("removed").alias("removed"))
