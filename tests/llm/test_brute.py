@@ -176,6 +176,20 @@ def test_awkward_vectors(spark):
     assert nearest(df.limit(0), F.col("vec_id") % 100 == 0).collect() == []
 
 
+def test_neighbours_of_repeated_ids(spark):
+    rng = np.random.default_rng(11)
+    rows = [(int(i), rng.normal(size=8).tolist()) for i in range(1, 60)]
+    rows += [(100, rows[0][1])] * 12 + [(200, rng.normal(size=8).tolist()) for _ in range(14)] + [(7, rows[6][1])] * 3 + [(300, [1.0, 2.0]), (61, [2.0, 2.0]), (62, [1.0, 2.0])]
+    found = {}
+    for r in nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0).collect():
+        found.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    near = lambda own: sorted((float(np.sqrt(np.square(np.subtract(v, own)).sum())), i) for i, v in rows if len(v) == len(own))
+    want = [(d, i) for d, i in near(rows[0][1]) if i != 100][:10]
+    assert sorted(found[100]) == sorted((k + 1, i, pytest.approx(d)) for k, (d, i) in enumerate(want) for _ in range(12))
+    assert len(found[200]) == 140 and all(i != 200 for _, i, _ in found[200])
+    assert sorted(found[300]) == [(1, 62, 0.0), (2, 61, 1.0)]
+
+
 def test_probing_finds_every_code_within_the_radius():
     rng = np.random.default_rng(4)
     codes = rng.integers(0, 256, (300, 4), dtype=np.uint8)

@@ -5,13 +5,15 @@ turn the rotation towards them). A code is cut into substrings, each with an ind
 bits of the query has, in some substring, at most R // m differing bits (one less beyond the first R % m + 1), so
 probing those values retrieves every code within R. The retrieved codes are ranked by the distance of the vectors.
 
-Equal vectors are indexed once, with the k + 1 smallest of their ids: no more can be among k neighbours. Queries
+Equal vectors are indexed once, with the k + 1 smallest of their different ids: no more can be among k neighbours. A list
+is cut where it has k + 1 different ids, and takes an id k times at most, so that k stay when a query's own id is taken out. Queries
 are sent out in blocks of bounded size, each against all rows; a query that found too few goes again with R = all bits.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -91,8 +93,24 @@ def _vectors(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten(), np.float64).reshape(len(column), -1)
 
 
+def shortened(order: list, first: Callable[[object], int], k: int) -> list:
+    """The beginning of a list of equal-vector classes by nearness that holds k + 1 different first ids, at most k times each.
+
+    Without the classes that start with one id, there are k others: enough for a query of that id."""
+    seen: Counter = Counter()
+    out = []
+    for entry in order:
+        own = first(entry)
+        if len(seen) == k + 1:
+            break
+        seen[own] += 1
+        if seen[own] <= k:
+            out.append(entry)
+    return out
+
+
 def searched(shared, k: int):
-    """Arrow batches (ids, vector, code) -> (q, distance, ids): the k + 1 nearest rows of the partition for each query."""
+    """Arrow batches (ids, vector, code) -> (q, distance, ids): the nearest rows of the partition for each query."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers, vectors, codes, radius = shared.value
@@ -106,9 +124,9 @@ def searched(shared, k: int):
                 for q, code in enumerate(codes):
                     rows = block.within(code, radius)
                     distance = np.sqrt(np.square(own[rows] - vectors[q]).sum(axis=1))
-                    nearest = np.lexsort((first[rows], distance))[: k + 1]
+                    nearest = shortened(np.lexsort((first[rows], distance)), lambda i, own=first[rows]: own[i], k)
                     best[q] += [(distance[i], first[rows[i]], part.column(0)[int(rows[i])].as_py()) for i in nearest]
-                    best[q] = sorted(best[q])[: k + 1]
+                    best[q] = shortened(sorted(best[q]), lambda entry: entry[1], k)
         for at in range(0, len(best), 1024):
             out = [(int(n), float(d), ids) for n, found in zip(numbers[at : at + 1024], best[at : at + 1024], strict=True) for d, _, ids in found]
             cols = list(zip(*out, strict=True)) if out else [[]] * 3
@@ -118,27 +136,34 @@ def searched(shared, k: int):
 
 
 def usable(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
-    """(vec_id, v) of the rows that take part: finite, not zero, of the commonest length, with an id."""
+    """(vec_id, v) of the rows that take part: finite, not zero, with an id."""
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("v")).filter("vec_id is not null and v is not null")
     finite = ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    rows = rows.filter(finite & F.exists("v", lambda x: x != 0))
-    length = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return rows.filter(F.size("v") == (length["n"] if length else 0))
+    return rows.filter(finite & F.exists("v", lambda x: x != 0))
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 10, vec_id: str = "vec_id", embedding: str = "embedding", sample: int = SAMPLE, query_block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score (Euclidean distance) of the k nearest found; ``is_query`` picks queries by vec_id.
 
-    * null, zero and non-finite vectors, vectors of another length than most and rows without id take no part.
+    * null, zero and non-finite vectors and rows without id take no part; vectors are compared with those of their length.
     * ties go to the smaller id; fewer than k candidates are all returned; rows that repeat an id are candidates of
       their own, but never for a query of that id. An empty table gives an empty result; other columns are not looked at.
     """
     rows = materialized(usable(vectors, vec_id, embedding), "vectors")
+    lengths = sorted(r["n"] for r in rows.select(F.size("v").alias("n")).distinct().collect())
+    out = rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for n in lengths:
+        own = rows if len(lengths) == 1 else materialized(rows.filter(F.size("v") == n), "vectors")
+        found = _nearest(own, is_query, k, sample, query_block)
+        out = found if n == lengths[0] else out.unionByName(found)
+    return out
+
+
+def _nearest(rows: DataFrame, is_query: Column, k: int, sample: int, query_block: int) -> DataFrame:
+    """The same over vectors (vec_id, v) of one length."""
     spark, total = rows.sparkSession, rows.count()
     taken = rows.filter(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample / max(1, total)))).limit(2 * sample)
     taken = np.array([r.v for r in taken.select("v").collect()], np.float64)
-    if not total:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if len(taken) < 2:
         taken = np.array([r.v for r in rows.limit(sample).collect()], np.float64)
     codes = learn(taken, k)
@@ -149,14 +174,15 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, vec_id: str = "ve
             found = coder.value.of(_vectors(batch.column(1))) if batch.num_rows else []
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([c.tobytes() for c in found], pa.binary())], ["ids", "v", "code"])
 
-    few = rows.withColumn("n", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).filter(F.col("n") <= k + 1)
+    few = rows.withColumns({"n": F.dense_rank().over(Window.partitionBy("v").orderBy("vec_id")), "copy": F.row_number().over(Window.partitionBy("v", "vec_id").orderBy("vec_id"))})
+    few = few.filter((F.col("n") <= k + 1) & (F.col("copy") <= k))
     index = few.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).select("ids", "v")
     index = materialized(index.mapInArrow(encode, "ids array<long>, v array<double>, code binary"), "index")
     asked = rows.filter(is_query)
     blocks = asked.count() // query_block + 1
     numbered = asked.select("v").distinct().withColumn("block", F.pmod(F.xxhash64("v"), F.lit(blocks))).withColumn("q", F.monotonically_increasing_id())
     numbered = materialized(numbered, "queries")
-    classes, found = index.count(), []
+    ids, found = rows.select("vec_id").distinct().limit(k + 1).count(), []
     for b in range(blocks):
         todo, radius = numbered.filter(F.col("block") == b).select("q", "v"), codes.radius
         while True:  # at most twice: the second time for what found too few, with all bits
@@ -167,10 +193,11 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, vec_id: str = "ve
             shared = spark.sparkContext.broadcast((np.array([q for q, _ in block]), own, codes.of(own), radius))
             part = index.mapInArrow(searched(shared, k), "q long, distance double, ids array<long>")
             each = part.select("q", "distance", F.explode("ids").alias("id"))
-            place = F.row_number().over(Window.partitionBy("q").orderBy("distance", "id"))
-            lists = each.withColumn("n", place).filter(F.col("n") <= k + 1).groupBy("q").agg(F.sort_array(F.collect_list(F.struct("distance", "id"))).alias("near"))
+            each = each.withColumn("copy", F.row_number().over(Window.partitionBy("q", "id").orderBy("distance"))).filter(F.col("copy") <= k)
+            different = F.sum((F.col("copy") == 1).cast("int")).over(Window.partitionBy("q").orderBy("distance", "id", "copy"))
+            lists = each.withColumn("n", different).filter(F.col("n") <= k + 1).groupBy("q").agg(F.max("n").alias("ids"), F.sort_array(F.collect_list(F.struct("distance", "id"))).alias("near"))
             lists = materialized(lists, "near")
-            enough = lists.filter(F.size("near") >= min(k + 1, total)) if radius < codes.rotation.shape[1] and classes > 1 else lists
+            enough = lists.filter(F.col("ids") >= ids) if radius < codes.rotation.shape[1] else lists
             found.append(enough)
             if enough is lists:
                 break
