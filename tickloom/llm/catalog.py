@@ -114,12 +114,48 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
-@query("op11_parity_join")
+@query("op11_parity_join", f"""
+WITH RECURSIVE words AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WHITE_SQL}'), lambda w: w <> '') AS w FROM documents),
+sets AS (SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_sort(list_distinct(list_transform(range(greatest(1, len(w) - 4)), lambda i: array_to_string(w[i + 1 : i + 5], ' ')))) END AS s FROM words),
+classes AS (SELECT s, min(r) AS k, min(doc_id) AS least FROM sets WHERE len(s) > 0 GROUP BY s),
+items AS (SELECT k, len(s) AS n, unnest(s) AS x FROM classes),
+both_ AS (SELECT a.k AS u, b.k AS v, any_value(a.n) AS nu, any_value(b.n) AS nv, count(*) AS i FROM items a JOIN items b ON a.x = b.x AND a.k < b.k WHERE 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY 1, 2),
+links AS (SELECT u, v FROM both_ WHERE 100 * i >= 80 * (nu + nv - i) UNION SELECT v, u FROM both_ WHERE 100 * i >= 80 * (nu + nv - i)),
+reach AS (SELECT k AS a, k AS b FROM classes UNION SELECT reach.a, links.v FROM reach JOIN links ON links.u = reach.b),
+named AS (SELECT a AS k, min(least) AS component_id FROM reach JOIN classes ON classes.k = reach.b GROUP BY 1)
+SELECT doc_id, len(sets.s) AS n_shingles, CASE WHEN len(sets.s) = 0 THEN doc_id ELSE component_id END AS component_id
+FROM sets LEFT JOIN classes ON classes.s = sets.s LEFT JOIN named ON named.k = classes.k""")
 def op11_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parity_join(table(spark, sf_dir, "documents"))
 
 
-@query("op12_conversation_repair")
+@query("op12_conversation_repair", f"""
+WITH RECURSIVE crc AS (SELECT list(v ORDER BY k) AS t FROM (SELECT k, list_reduce([k, 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) x(k))),
+raw AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+kinds AS (SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(key, ''), lambda b: ord(b)::BIGINT)), lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1])), 4294967295) % 20 AS kind FROM raw, crc),
+damaged AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM kinds JOIN range(2) x(copy) ON copy = 0 OR kind = 3 WHERE kind <> 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(role) || ':' || role || text)) AS i, rtrim(text, {STRIP_SQL}) AS kept FROM damaged),
+judged AS (SELECT *, CASE WHEN kept = '' THEN 1 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 2 WHEN right(kept, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault,
+  CASE WHEN left(role, 1) IN ('s', 'u', 'a') THEN left(role, 1) ELSE '-' END AS initial FROM placed),
+convs AS (SELECT conv_id, row_number() OVER () AS c FROM (SELECT DISTINCT conv_id FROM conversations)),
+numbered AS (SELECT c, j.* EXCLUDE (kept) FROM judged j JOIN convs ON convs.conv_id IS NOT DISTINCT FROM j.conv_id),
+inserts AS (SELECT * FROM (VALUES (0, 0, 0, '', []::VARCHAR[]), (1, 1, 0, '', []), (2, 2, 0, '', []), (3, 3, 0, '', []), (0, 2, 3, 'I', ['user:']), (0, 3, 6, 'II', ['user:', 'assistant:']), (1, 2, 3, 'I', ['user:']),
+  (1, 3, 6, 'II', ['user:', 'assistant:']), (2, 3, 3, 'I', ['assistant:']), (2, 2, 6, 'II', ['assistant:', 'user:']), (3, 2, 3, 'I', ['user:']), (3, 3, 6, 'II', ['user:', 'assistant:'])) v(q, q1, price, edits, new)),
+steps AS (SELECT c, 0::BIGINT AS i, 0 AS q, {{'cost': 0, 'audit': '', 'rows': []::VARCHAR[]}} AS best FROM convs
+  UNION ALL SELECT c, i, q2, min({{'cost': cost, 'audit': audit, 'rows': rows}}) FROM (
+    SELECT s.c, n.i, CASE e.edit WHEN 'D' THEN q1 WHEN 'R' THEN CASE WHEN q1 = 2 THEN 3 ELSE 2 END ELSE CASE n.initial WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END END AS q2,
+      s.best.cost + p.price + CASE e.edit WHEN 'D' THEN 4 WHEN 'R' THEN 3 ELSE 0 END + CASE WHEN e.edit <> 'D' AND n.fault = 3 THEN 3 ELSE 0 END AS cost, s.best.audit || p.edits || e.edit AS audit,
+      list_concat(list_concat(s.best.rows, p.new), CASE e.edit WHEN 'D' THEN []::VARCHAR[] WHEN 'R' THEN [CASE WHEN q1 = 2 THEN 'assistant:' ELSE 'user:' END || n.text] ELSE [n.role || ':' || n.text] END) AS rows
+    FROM steps s JOIN inserts p ON p.q = s.q JOIN numbered n ON n.c = s.c AND n.i = s.i + 1 JOIN (VALUES ('D'), ('R'), ('K')) e(edit)
+      ON e.edit = 'D' OR n.fault NOT IN (1, 2) AND (e.edit = 'R' OR (n.initial = 's' AND q1 = 0) OR (n.initial = 'u' AND q1 <> 2) OR (n.initial = 'a' AND q1 = 2))) GROUP BY 1, 2, 3),
+ends AS (SELECT s.c, s.i, s.best.cost + p.price AS cost, s.best.audit || p.edits AS audit, list_concat(s.best.rows, p.new) AS rows FROM steps s JOIN inserts p ON p.q = s.q AND (p.q1 = 3 OR s.q = 0 AND p.q1 = 0)),
+best AS (SELECT c, min({{'cost': cost, 'audit': audit, 'rows': rows}}) AS b FROM ends e WHERE i = (SELECT count(*) FROM numbered n WHERE n.c = e.c) GROUP BY 1),
+pairs AS (SELECT *, lag(initial) OVER (PARTITION BY c ORDER BY i) AS before FROM numbered),
+counts AS (SELECT c, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated,
+  count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM pairs GROUP BY 1)
+SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  b.cost::BIGINT AS cost, b.audit AS audit, sha256(array_to_string(b.rows, chr(10))) AS repaired_sha256 FROM convs JOIN best USING (c) LEFT JOIN counts USING (c)""")
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     conversations = table(spark, sf_dir, "conversations")
     return repair(damaged(conversations), conversations.select("conv_id"))
