@@ -32,10 +32,14 @@ def leaves_match_total(rows: DataFrame, total_route: str, subtotal_routes: list[
         "ok", F.col("max_gap") <= tol)
 
 
-def freshness(rows: DataFrame, key: str, asof, limit: int = 7) -> DataFrame:
-    """Age in days of the newest row per source."""
-    return rows.groupBy(key).agg(F.max("date").alias("newest")).withColumn("age", F.datediff(F.lit(asof).cast("date"), "newest").cast("long")).withColumn(
-        "ok", F.col("age") <= limit)
+def freshness(rows: DataFrame, key: str, asof, limits: DataFrame | None = None, default: int = 7) -> DataFrame:
+    """(key, newest, age, limit, ok): age in days of the newest row of each source, against the source's own limit (key, limit)."""
+    newest = rows.groupBy(key).agg(F.max("date").alias("newest"))
+    limit = F.lit(default)
+    if limits is not None:
+        newest, limit = newest.join(limits.select(key, F.col("limit").alias("_limit")), key, "left"), F.coalesce("_limit", F.lit(default))
+    age = F.datediff(F.lit(asof).cast("date"), "newest").cast("long")
+    return newest.select(key, "newest", age.alias("age"), limit.cast("long").alias("limit"), (age <= limit).alias("ok"))
 
 
 def date_convention(flow: DataFrame, returns: DataFrame, margin: float = 0.10) -> DataFrame:

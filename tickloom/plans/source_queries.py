@@ -356,13 +356,11 @@ def _(spark, d):
     return agg.select(F.when(F.col("_g") == 1, -1).otherwise(F.col("experiment")).alias("experiment"), "trials")
 
 
-@query("delta_encode", f"""WITH {BARS6} SELECT cid, min(date) AS d0, count(*) AS n, max(date) AS last, {r('sum(volume)', 0)} AS volume FROM bars GROUP BY 1""")
+@query("delta_encode", f"""WITH {BARS6} SELECT cid, date, {r('ln(close)', 4)} AS close, CAST(volume AS DOUBLE) AS volume FROM bars""")
 def _(spark, d):
-    """Encode every series, decode it again, and summarise what came back."""
-    bars = ad.type_bars(spark, d).withColumn("volume", F.col("volume").cast("double"))
-    enc = ex.delta_series(bars, ["close", "volume"], "cid")
-    dec = ex.decode_series(enc, ["close", "volume"], "cid")
-    return dec.groupBy("cid").agg(F.min("date").alias("d0"), F.count("*").alias("n"), F.max("date").alias("last"), rnd(F.sum("volume"), 0).alias("volume"))
+    """Every series encoded and decoded again: all of its days and both of its columns, prices on a log scale."""
+    bars = ad.type_bars(spark, d).withColumns({"volume": F.col("volume").cast("double"), "close": F.log("close")})
+    return rounded_columns(ex.decode_series(ex.delta_series(bars, ["close", "volume"], "cid"), ["close", "volume"], "cid"), 4)
 
 
 @query("table_export", """SELECT '["' || n_name || '",' || n_nationkey || ',' || '"1995-01-02"' || ',null]' AS row FROM nation""")

@@ -45,9 +45,20 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def scratch_root(spark: SparkSession) -> str:
+    """The folder of this application's tables in the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/tickloom/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh sub-folder of the shared folder for one job's tables."""
-    return f"{shared_dir(spark).rstrip('/')}/tickloom/{label}-{uuid.uuid4().hex}"
+    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete what this application has written for itself. Results that still read it are lost: call it when they are stored."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
