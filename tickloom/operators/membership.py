@@ -118,8 +118,10 @@ def candidate_union(*lists: DataFrame, name: str = "symbol") -> DataFrame:
     return out.distinct()
 
 
-def validate_lists(rows: DataFrame, expected: DataFrame | None = None) -> DataFrame:
-    """(index, n, ok, reason): expected size (index, size), unique symbols, well-formed ISINs."""
+def validate_lists(rows: DataFrame, expected: DataFrame | dict[str, int] | None = None) -> DataFrame:
+    """(index, n, ok, reason): expected size (a table (index, size) or a short dict), unique symbols, well-formed ISINs."""
+    if isinstance(expected, dict):
+        expected = rows.sparkSession.createDataFrame(list(expected.items()), "index string, size long") if expected else None
     per_symbol = rows.groupBy("index", "symbol").agg(F.count("*").alias("_k"), F.count_if(~F.trim("isin").rlike(ISIN)).alias("_bad"))
     agg = per_symbol.groupBy("index").agg(F.sum("_k").alias("n"), F.max("_k").alias("_dup"), F.sum("_bad").alias("_bad"))
     if expected is not None:
