@@ -113,7 +113,7 @@ DAUDIT = f"""{BARS}, {SESS}, {ACTIONS},
 
 
 def audited(spark, d):
-    return ca.audit(ad.bars_table(spark, d).select("cid", "date", "close"), market_actions(spark, d))
+    return ca.audit(ad.bars_table(spark, d).select("cid", "date", "close"), materialized(market_actions(spark, d), "actions"))
 
 
 @query("action_audit", f"""WITH {DAUDIT} SELECT cid, ex_date, kind, {r('ln(announced)')} AS log_announced, subject, status, applied_date,
@@ -160,7 +160,7 @@ def _(spark, d):
 @query("adjust_factors", f"WITH {DAUDIT} SELECT cid, date, {r('ln(factor)')} AS log_factor FROM fac")
 def _(spark, d):
     bars = ad.bars_table(spark, d).select("cid", "date", "close")
-    return ca.adjustment_factors(bars, ca.audit(bars, market_actions(spark, d))).select("cid", "date", rnd(F.log("factor")).alias("log_factor"))
+    return ca.adjustment_factors(bars, ca.audit(bars, materialized(market_actions(spark, d), "actions"))).select("cid", "date", rnd(F.log("factor")).alias("log_factor"))
 
 
 def total_return_rows(spark, d):
