@@ -8,10 +8,9 @@ import pytest
 import regex
 
 from tickloom.llm.catalog import QUERIES
-from tickloom.llm.url_filter import RULES
+from tickloom.llm.url_filter import RULES, judge, segmented, word_counts
 
 SF = "/root/testdata/sf0.001"
-LONGEST = 16
 
 
 def parts(url):
@@ -37,12 +36,9 @@ def judged(rows):
     urls = {i: parts(u) for i, u, _ in rows}
     rules = {i: ruled(*u) for i, u in urls.items()}
     taught = [(v == "block", pieces(*urls[i])) for i, (_, v) in rules.items() if v]
-    open_ = {urls[i] for i, (_, v) in rules.items() if not v}
-    every = {p for _, own in taught for _, p in own} | {p for u in open_ for _, p in pieces(*u)}
-    parts_of = {p[a : a + n] for p in every for a in range(len(p)) for n in range(1, LONGEST + 1)}
     text = Counter()
     for _, _, html in rows:
-        text.update(w for w in regex.split(r"[^\p{L}]+", regex.sub(r"<[^<>]*>", " ", html or "").lower()) if 1 <= len(w) <= LONGEST and w in parts_of)
+        text.update(w for w in regex.split(r"[^\p{L}]+", regex.sub(r"<[^<>]*>", " ", html or "").lower()) if w)
     total = sum(text.values())
 
     def worth(word):
@@ -53,7 +49,7 @@ def judged(rows):
     def split(piece):
         if not piece:
             return 0.0, ()
-        tails = [(piece[:n], split(piece[n:])) for n in range(1, min(LONGEST, len(piece)) + 1)]
+        tails = [(piece[:n], split(piece[n:])) for n in range(1, len(piece) + 1)]
         return max(((worth(w) + log, (w, *rest)) for w, (log, rest) in tails), key=lambda x: x[0])
 
     counts = {True: Counter(), False: Counter()}
@@ -80,3 +76,20 @@ def test_query_equals_the_replay(spark):
         assert (found[i].host, found[i].path) == parts(dict((a, b) for a, b, _ in rows)[i]) and found[i].rule == rule
         assert found[i].score is None if score is None else found[i].score / 1e6 == pytest.approx(score, abs=1e-3)
         assert found[i].verdict == verdict or abs(score) < 1e-3
+
+
+def test_words_of_every_length(spark):
+    long_word = "donaudampfschifffahrtsgesellschaft"
+    rows = [(1, f"http://{long_word}kapitaen.org/{'x' * 40}/a", f"<p>{long_word} kapitaen</p>"), (2, "http://kapitaen.com/a", "kapitaen xx"), (3, None, None)]
+    rows += [(i, f"http://example.com/en/{long_word}", f"<b>{long_word}</b> und {'y' * i}") for i in range(4, 40)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = judged(rows)
+    for r in judge(pages).collect():
+        rule, verdict, score = want[r.page_id]
+        assert (r.rule, r.verdict) == (rule, verdict) and (r.score is None if score is None else r.score / 1e6 == pytest.approx(score, abs=1e-3))
+    counts = word_counts(pages)
+    found = spark.createDataFrame([(f"{long_word}kapitaen",), ("x" * 40,), ("q" * 30_000,)], "piece string")
+    words = {r.piece: r.words for r in segmented(found, counts).collect()}
+    assert words[f"{long_word}kapitaen"] == [long_word, "kapitaen"]
+    assert words["x" * 40] == ["x" * 40] or "xx" in words["x" * 40]
+    assert words["q" * 30_000] == ["q" * 30_000]

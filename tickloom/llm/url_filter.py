@@ -18,7 +18,10 @@ from tickloom.session import materialized
 
 #: (verdict, host, path start)
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
-LONGEST = 16
+#: Parts of a piece of up to so many letters are listed; longer words are found by their beginning.
+SHORT = 16
+#: Parts that make one batch.
+STEP = 50_000
 SAMPLE_ROWS = 50_000
 #: Scores are sums of whole millionths, so that no order of adding changes them.
 UNIT = 1_000_000
@@ -50,49 +53,85 @@ def pieces(host: str = "host", path: str = "path") -> Column:
     return F.concat(runs("host", F.col(host)), runs("path", F.col(path)))
 
 
+def _cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, piece) -> (key, at, word) for every part of a piece of up to SHORT letters."""
+    keys, places, parts_ = [], [], []
+
+    def batch_of() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(places, pa.int32()), pa.array(parts_, pa.string())], ["key", "at", "word"])
+
+    for batch in batches:
+        for key, piece in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for at in range(len(piece)):
+                own = [piece[at : at + size] for size in range(1, min(SHORT, len(piece) - at) + 1)]
+                keys += [key] * len(own)
+                places += [at] * len(own)
+                parts_ += own
+                if len(keys) >= STEP:
+                    yield batch_of()
+                    keys, places, parts_ = [], [], []
+    yield batch_of()
+
+
+def likeliest(piece: str, found: list[tuple[int, int, float]], total: int) -> list[str]:
+    """The likeliest split of a piece; found: (start, size, log frequency) of the known words in it.
+
+    A run that is no word has the frequency 10 / (total * 10 ** size). Such a run is best begun where the score plus
+    log 10 times the place is highest, so runs of all sizes cost one comparison a letter.
+    """
+    ends: dict[int, list[tuple[int, float]]] = {}
+    for start, size, log in found:
+        ends.setdefault(start + size, []).append((start, log))
+    step = math.log(10.0)
+    rare = step - math.log(max(total, 1))
+    scores, came, begin = [0.0], [0], 0
+    for end in range(1, len(piece) + 1):
+        best, start = scores[begin] + rare - step * (end - begin), begin
+        for at, log in sorted(ends.get(end, ())):
+            if scores[at] + log > best:
+                best, start = scores[at] + log, at
+        scores.append(best)
+        came.append(start)
+        if best > scores[begin] - step * (end - begin):
+            begin = end
+    words, end = [], len(piece)
+    while end:
+        words.append(piece[came[end] : end])
+        end = came[end]
+    return words[::-1]
+
+
 def _best_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(piece, found = [(start, size, log frequency)], total) -> (piece, words) of the likeliest split."""
+    """(piece, found = [(start, size, count)], total) -> (piece, words) of the likeliest split."""
     for batch in batches:
-        out = []
-        for piece, found, total in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            starts: dict[int, list] = {}
-            for x in found or ():
-                starts.setdefault(x["start"], []).append((x["size"], math.log(x["n"] / total)))
-            best = [(0.0, 0)] + [(-math.inf, 0)] * len(piece)
-            for i in range(len(piece)):
-                base = best[i][0]
-                # a word that is not known gets rarer by its length
-                unknown = [(size, math.log(10 / (max(total, 1) * 10.0 ** min(size, 300)))) for size in range(1, min(LONGEST, len(piece) - i) + 1)]
-                for size, log in unknown + starts.get(i, []):
-                    if base + log > best[i + size][0]:
-                        best[i + size] = (base + log, i)
-            words, end = [], len(piece)
-            while end:
-                words.append(piece[best[end][1] : end])
-                end = best[end][1]
-            out.append(words[::-1])
+        rows = zip(*(c.to_pylist() for c in batch.columns), strict=True)
+        out = [likeliest(piece, [(x["start"], x["size"], math.log(x["n"] / total)) for x in found or ()], total) for piece, found, total in rows]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.string()))], ["piece", "words"])
 
 
-def segmented(found: DataFrame, pages_text: DataFrame) -> DataFrame:
-    """(piece, words) for each different piece, by the counts of words (column word) over the whole text."""
-    found = materialized(found.select("piece").distinct(), "pieces")
-    size = F.explode(F.sequence(F.lit(1), F.least(F.lit(LONGEST), F.length("piece") - F.col("at"))))
-    cut = found.withColumn("at", F.explode(F.sequence(F.lit(0), F.length("piece") - 1))).withColumn("size", size)
-    cut = cut.withColumn("word", F.expr("substring(piece, at + 1, size)"))
-    cut = materialized(cut, "cuts")
-    counts = pages_text.join(cut.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count("*").alias("n"))
-    counts = materialized(counts, "counts")
+def segmented(found: DataFrame, counts: DataFrame) -> DataFrame:
+    """(piece, words) for each different piece of ``found``, by the counts of words (word, n).
+
+    Words of up to SHORT letters meet the parts of the pieces; longer ones meet the parts of SHORT letters by their
+    beginning and are compared in full, so that no length is left out.
+    """
+    found = materialized(found.select("piece").distinct().select(F.md5("piece").alias("key"), "piece"), "pieces")
+    cut = materialized(found.mapInArrow(_cuts, "key string, at int, word string"), "cuts")
     total = counts.agg(F.sum("n")).first()[0] or 0
-    known = cut.join(counts, "word").groupBy("piece").agg(F.collect_list(F.struct(F.col("at").alias("start"), "size", "n")).alias("found"))
-    every = found.join(known, "piece", "left").select("piece", "found", F.lit(total).cast("long").alias("total"))
+    short = cut.join(counts, "word").select("key", F.col("at").alias("start"), F.length("word").alias("size"), "n")
+    long_words = counts.filter(F.length("word") > SHORT).select(F.substring("word", 1, SHORT).alias("begin"), F.col("word").alias("whole"), "n")
+    begun = cut.filter(F.length("word") == SHORT).join(long_words, F.col("word") == F.col("begin")).join(found, "key")
+    long_ = begun.filter(F.expr("substring(piece, at + 1, length(whole))") == F.col("whole")).select("key", F.col("at").alias("start"), F.length("whole").alias("size"), "n")
+    known = short.unionByName(long_).groupBy("key").agg(F.collect_list(F.struct("start", "size", "n")).alias("found"))
+    every = found.join(known, "key", "left").select("piece", "found", F.lit(total).cast("long").alias("total"))
     return materialized(every.mapInArrow(_best_words, "piece string, words array<string>"), "segmented")
 
 
-def html_words(pages: DataFrame, html: str = "html") -> DataFrame:
-    """One row for each word of the pages outside tags."""
+def word_counts(pages: DataFrame, html: str = "html") -> DataFrame:
+    """(word, n) of all words of the pages outside tags; counted before they meet anything."""
     text = F.lower(F.regexp_replace(F.coalesce(F.col(html), F.lit("")), r"<[^<>]*+>", " "))
-    return pages.select(F.explode(F.split(text, r"[^\p{L}]++")).alias("word")).filter(F.length("word").between(1, LONGEST))
+    words = pages.select(F.explode(F.split(text, r"[^\p{L}]++")).alias("word")).filter("word <> ''")
+    return materialized(words.groupBy("word").agg(F.count("*").alias("n")), "counts")
 
 
 def judge(pages: DataFrame, rules=RULES, sample_rows: int = SAMPLE_ROWS, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -100,6 +139,7 @@ def judge(pages: DataFrame, rules=RULES, sample_rows: int = SAMPLE_ROWS, page_id
 
     * null url or one without ``://``: host and path are empty and the prior decides. Ties, and tables in which no
       rule decides any URL, give allow. Null ids and repeated rows pass through; null html counts as empty.
+    * words of every length are counted and found; pieces of any length are split whole.
     * an empty table gives an empty result; other columns of the input are not looked at.
     """
     host, path = parts("_url")
@@ -113,7 +153,7 @@ def judge(pages: DataFrame, rules=RULES, sample_rows: int = SAMPLE_ROWS, page_id
     keyed = materialized(keys.select("host", "path", F.explode_outer(pieces()).alias("p")).select("host", "path", "p.place", "p.piece"), "keyed")
     labelled = taught.select("block", F.explode("pieces").alias("p")).select("block", "p.place", "p.piece").groupBy("block", "place", "piece").agg(F.count("*").alias("n"))
     labelled = materialized(labelled, "labelled")
-    words = segmented(labelled.select("piece").unionByName(keyed.filter("piece is not null").select("piece")), html_words(pages, html))
+    words = segmented(labelled.select("piece").unionByName(keyed.filter("piece is not null").select("piece")), word_counts(pages, html))
     counted = labelled.join(words, "piece").select("block", "place", F.explode("words").alias("word"), "n")
     counted = counted.groupBy("place", "word").agg(*[F.sum(F.when(F.col("block") == b, F.col("n")).otherwise(0)).alias(f"n{b}") for b in (0, 1)])
     counted = materialized(counted, "counted")
