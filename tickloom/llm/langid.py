@@ -4,8 +4,8 @@ A known word gives the log frequencies it has in each language. A word that no l
 character n-grams (word ends marked): by those of four characters if any is known, else of three, two, one. The
 vectors of all words of a text are added to the log shares of the languages; the score is the softmax of the best.
 
-Word and n-gram counts are gathered from a bounded sample of labelled documents (``sample_rows``); each language keeps
-its ``max_words`` and ``max_grams`` most frequent entries, so the model that is sent out has a bound as well.
+Word and n-gram counts are gathered from a bounded sample of labelled documents: about ``sample_rows`` rows and
+``sample_chars`` characters at most. All their words and n-grams are kept, so the sample alone bounds the model.
 """
 
 from __future__ import annotations
@@ -16,15 +16,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import packed
 from tickloom.session import materialized
 
 SAMPLE_ROWS = 20_000
-MAX_WORDS = 30_000
-MAX_GRAMS = 20_000
+SAMPLE_CHARS = 60_000_000
 LENGTHS = (4, 3, 2, 1)
 UNKNOWN = "und"
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
@@ -132,22 +131,22 @@ class Backoff:
         return out
 
 
-def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> Backoff:
-    """The model of the labelled documents that are not held out; a hash of the id picks about ``sample_rows`` of them."""
+def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS) -> Backoff:
+    """The model of the labelled documents that are not held out; a hash of id and text picks a sample of about so many rows and characters."""
     labelled = docs.select("doc_id", "lang", "text").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    n = labelled.count()
-    if n > sample_rows:
-        labelled = labelled.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * sample_rows / n))
+    n, chars = labelled.agg(F.count("*"), F.sum(F.length("text").cast("long"))).first()
+    share = min(sample_rows / max(n, 1), sample_chars / max(chars or 0, 1))
+    if share < 1:
+        labelled = labelled.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < int((1 << 30) * share))
     counts = labelled.select("lang", "text").mapInArrow(_counts, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     counts = materialized(counts, "words")
     real = counts.filter("word <> ''")
-    top = lambda df, by, entry, most: df.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("n"), entry))).filter(F.col("place") <= most).drop("place")
     grams_of = materialized(real.mapInArrow(_gram_counts, "lang string, gram string, length int, n long").groupBy("lang", "gram", "length").agg(F.sum("n").alias("n")), "grams")
     rows = lambda df: [tuple(r) for r in df.collect()]
     return Backoff(
         dict(rows(counts.filter("word = ''").select("lang", "n"))),
-        sorted(rows(top(real, ["lang"], "word", max_words).select("lang", "word", "n"))),
-        sorted(rows(top(grams_of, ["lang", "length"], "gram", max_grams).select("lang", "gram", "length", "n"))),
+        sorted(rows(real.select("lang", "word", "n"))),
+        sorted(rows(grams_of.select("lang", "gram", "length", "n"))),
         dict(rows(real.groupBy("lang").agg(F.sum("n")))),
         {(a, b): n for a, b, n in rows(grams_of.groupBy("lang", "length").agg(F.sum("n")))})
 
