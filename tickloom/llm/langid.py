@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -70,43 +71,60 @@ def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*cols, pa.array(list(found.values()), pa.int64())], ["lang", "gram", "length", "n"])
 
 
+class Entries:
+    """Words or n-grams and their log frequencies, a row per entry and a column per language.
+
+    The driver only keeps and sends the arrays; the lookup is built where it is used.
+    """
+
+    def __init__(self, table: pa.Table, langs: list[str]):
+        """table: (lang, entry, n), each language and entry once."""
+        coded = table["entry"].combine_chunks().dictionary_encode()
+        self.names = coded.dictionary
+        place = pc.index_in(table["lang"].combine_chunks(), pa.array(langs, pa.string()))
+        logs = np.zeros((len(self.names), len(langs)))
+        logs[coded.indices.to_numpy(zero_copy_only=False), place.to_numpy(zero_copy_only=False)] = table["n"].to_numpy()
+        sums = logs.sum(0) + 0.5 * (len(self.names) + 1)
+        logs += 0.5
+        logs /= sums
+        self.logs = np.log(logs, out=logs)
+        self.unseen = np.log(0.5 / sums)
+        self.rows: dict[str, int] | None = None
+
+    def __len__(self) -> int:
+        return len(self.names)
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self.names.to_pylist())
+
+    def get(self, entry: str) -> int | None:
+        if self.rows is None:
+            self.rows = {name: i for i, name in enumerate(self)}
+        return self.rows.get(entry)
+
+
 class Backoff:
-    """Log frequencies by word and by n-gram, a row per entry and a column per language."""
+    """The model: shares of the languages, Entries of the words and of the n-grams of each length."""
 
-    def __init__(self, docs: dict[str, int], words_of, grams_of, word_totals: dict, gram_totals: dict):
+    def __init__(self, docs: dict[str, int], words_of: pa.Table, grams_of: dict[int, pa.Table]):
         self.langs = sorted(docs)
         total = sum(docs.values())
         self.prior = np.array([np.log(docs[x] / total) for x in self.langs])
-        self.words, self.word_logs = self._table(words_of, {x: word_totals.get(x, 0) for x in self.langs})
-        self.grams, self.gram_logs, self.unseen = {}, {}, {}
-        for length in LENGTHS:
-            own = [(lang, gram, n) for lang, gram, size, n in grams_of if size == length]
-            totals = {x: gram_totals.get((x, length), 0) for x in self.langs}
-            self.grams[length], self.gram_logs[length] = self._table(own, totals)
-            self.unseen[length] = np.log(0.5 / (np.array([totals[x] for x in self.langs]) + 0.5 * (len(self.grams[length]) + 1)))
+        self.words = Entries(words_of, self.langs)
+        self.grams = {length: Entries(grams_of[length], self.langs) for length in LENGTHS}
         self.rows: dict[str, int] = {}
         self.logs = np.zeros((1024, len(self.langs)))
 
-    def _table(self, entries, totals: dict) -> tuple[dict[str, int], np.ndarray]:
-        at, place = {}, {x: i for i, x in enumerate(self.langs)}
-        for _, entry, _ in entries:
-            at.setdefault(entry, len(at))
-        counts = np.zeros((len(at), len(self.langs)))
-        for lang, entry, n in entries:
-            counts[at[entry], place[lang]] = n
-        sums = np.array([totals[x] for x in self.langs])
-        return at, np.log((counts + 0.5) / (sums + 0.5 * (len(at) + 1)))
-
     def word_vector(self, word: str) -> np.ndarray:
         row = self.words.get(word)
         if row is not None:
-            return self.word_logs[row]
+            return self.words.logs[row]
         for length in LENGTHS:
             found = [self.grams[length].get(g) for g in grams(word, length)]
             known = [x for x in found if x is not None]
             if known:
                 missing = len(found) - len(known)
-                return (self.gram_logs[length][known].sum(0) + missing * self.unseen[length]) / len(found)
+                return (self.grams[length].logs[known].sum(0) + missing * self.grams[length].unseen) / len(found)
         return np.zeros(len(self.langs))
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
@@ -142,13 +160,10 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAM
     counts = materialized(counts, "words")
     real = counts.filter("word <> ''")
     grams_of = materialized(real.mapInArrow(_gram_counts, "lang string, gram string, length int, n long").groupBy("lang", "gram", "length").agg(F.sum("n").alias("n")), "grams")
-    rows = lambda df: [tuple(r) for r in df.collect()]
-    return Backoff(
-        dict(rows(counts.filter("word = ''").select("lang", "n"))),
-        sorted(rows(real.select("lang", "word", "n"))),
-        sorted(rows(grams_of.select("lang", "gram", "length", "n"))),
-        dict(rows(real.groupBy("lang").agg(F.sum("n")))),
-        {(a, b): n for a, b, n in rows(grams_of.groupBy("lang", "length").agg(F.sum("n")))})
+    docs_of = {r["lang"]: r["n"] for r in counts.filter("word = ''").collect()}
+    # straight into arrays: rows as Python objects would take many times the memory
+    grams_by = {size: grams_of.filter(F.col("length") == size).select("lang", F.col("gram").alias("entry"), "n").toArrow() for size in LENGTHS}
+    return Backoff(docs_of, real.select("lang", F.col("word").alias("entry"), "n").toArrow(), grams_by)
 
 
 def predictor(docs: DataFrame, model: Backoff):
