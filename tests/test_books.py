@@ -90,3 +90,15 @@ def test_date_convention_passes_only_when_the_flow_follows(spark):
     late = spark.createDataFrame([(a, float(b)) for a, b in zip(d[1:], x[:-1])], "date date, flow double")
     same = spark.createDataFrame([(a, float(b)) for a, b in zip(d, x)], "date date, flow double")
     assert qa.date_convention(late, rets).first()["ok"] and not qa.date_convention(same, rets).first()["ok"]
+
+
+def test_entitlements_are_not_shuffled(spark):
+    led = spark.createDataFrame([(1, "A", day("2023-12-31"), "BUY", 13, 0, 0), (1, "A", day("2024-12-31"), "SELL", 3, 0, 0), (2, "A", day("2024-03-01"), "BUY", 4, 0, 0)], LEDGER)
+    days = ["2023-12-31", "2024-01-01", "2024-12-31", "2024-12-31", "2025-01-01", "2027-05-05"]
+    acts = spark.createDataFrame([("A", day(d), float(i)) for i, d in enumerate(days)] + [("B", day("2025-01-01"), 9.0)], "symbol string, ex_date date, value double")
+    out = bk.held_on(led, acts)
+    got = {book: [(r["value"], r["held"]) for r in out.where(F.col("book") == book).orderBy("value").collect()] for book in (1, 2)}
+    assert got == {1: [(1, 13), (2, 13), (3, 13), (4, 10), (5, 10)], 2: [(2, 4), (3, 4), (4, 4), (5, 4)]}
+    # every book meets every action: rows of that product are neither sorted nor exchanged
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert "Join" not in plan[:plan.index("Generate")] and "Window" not in plan[:plan.index("Generate")]
