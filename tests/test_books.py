@@ -102,3 +102,11 @@ def test_entitlements_are_not_shuffled(spark):
     # every book meets every action: rows of that product are neither sorted nor exchanged
     plan = out._jdf.queryExecution().sparkPlan().toString()
     assert "Join" not in plan[:plan.index("Generate")] and "Window" not in plan[:plan.index("Generate")]
+
+
+def test_settlement_without_shares_or_value(spark):
+    led = spark.createDataFrame([(1, "A", day("2024-01-01"), "BUY", 1, 0, 0), (1, "A", day("2024-03-01"), "BUY", 5, 0, 0), (2, "A", day("2024-01-01"), "SELL", 2, 0, 0), (2, "A", day("2024-03-01"), "BUY", 9, 0, 0)], LEDGER)
+    rows = [("2024-01-15", "rights", None, 3.0), ("2024-02-01", "consolidation", 2.0, 7.0), ("2024-02-02", "dividend", 1.5, None), ("2024-03-02", "dividend", 1.5, None), ("2024-03-02", "consolidation", 2.0, 7.0)]
+    acts = spark.createDataFrame([("A", day(d), *r) for d, *r in rows], "symbol string, ex_date date, kind string, value double, close double")
+    got = [(r["book"], r["kind"], r["held"], r["added"], r["cash"]) for r in bk.settle(led, acts).orderBy("book", "ex_date", "kind").collect()]
+    assert got == [(1, "consolidation", 1, -1, 3.5), (1, "consolidation", 5, -3, 3.5), (1, "dividend", 2, 0, 3.0), (2, "consolidation", 7, -4, 3.5), (2, "dividend", 3, 0, 4.5)]
