@@ -110,3 +110,15 @@ def test_settlement_without_shares_or_value(spark):
     acts = spark.createDataFrame([("A", day(d), *r) for d, *r in rows], "symbol string, ex_date date, kind string, value double, close double")
     got = [(r["book"], r["kind"], r["held"], r["added"], r["cash"]) for r in bk.settle(led, acts).orderBy("book", "ex_date", "kind").collect()]
     assert got == [(1, "consolidation", 1, -1, 3.5), (1, "consolidation", 5, -3, 3.5), (1, "dividend", 2, 0, 3.0), (2, "consolidation", 7, -4, 3.5), (2, "dividend", 3, 0, 4.5)]
+
+
+def test_positions_of_one_task_do_not_grow(spark, monkeypatch):
+    rows = [(b, s, d, "BUY", 1, 100, 0) for b in range(20) for s in "AB" for d in days_from("2024-01-01", 5)]
+    led = spark.createDataFrame(rows, LEDGER)
+    days = spark.createDataFrame([(x,) for x in days_from("2024-01-01", 5)], "date date")
+    px = days.select(F.explode(F.array(F.lit("A"), F.lit("B"))).alias("symbol"), "date", F.lit(2.0).alias("close"))
+    monkeypatch.setattr(bk, "DEALT", 20)
+    assert bk.dealt(led).rdd.getNumPartitions() == 11
+    out = bk.marks(led, px, days)
+    assert "REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString()
+    assert {(r["date"].day, r["nav"]) for r in out.collect()} == {(i, 2.0 * i) for i in range(1, 6)}
