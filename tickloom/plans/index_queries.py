@@ -74,8 +74,8 @@ def _track(group: str) -> str:
     {r('stddev_samp(rep - bench) * sqrt(252)')} AS tracking_error, {r('corr(rep, bench)')} AS corr"""
 
 
-def _context(spark, d, adj=None):
-    bars = ad.bars_table(spark, d)
+def _context(spark, d, adj=None, bars=None):
+    bars = ad.bars_table(spark, d) if bars is None else bars
     sessions = cal.session_table(bars)
     schedule = materialized(ix.review_schedule(sessions, first="1995-01"), "schedule")
     adv = materialized(ix.average_turnover_at(bars, schedule, sessions), "adv")
@@ -258,7 +258,7 @@ def index_replication(spark, d):
     px = bars.select("cid", "date", "close")
     audited = materialized(ca.audit(px, acts), "audit")
     total = materialized(ca.total_returns(px, ca.adjustment_factors(px, audited), acts.where("kind = 'dividend'")), "total")
-    ctx = _context(spark, d, total.select("cid", "date", "adj"))
+    ctx = _context(spark, d, total.select("cid", "date", "adj"), bars)
     universe, size = ix.mcap_rules(_shares(spark, d), 20, min_periods=60)
     sel = _reviews(ctx, universe=universe, size=size)
     tilt = sel.select("effective", "cid", "weight", F.lit("tilt").alias("strategy"))
@@ -274,7 +274,7 @@ def _(spark, d):
     px = bars.select("cid", "date", "close")
     audited = materialized(ca.audit(px, acts), "audit")
     total = materialized(ca.total_returns(px, ca.adjustment_factors(px, audited), acts.where("kind = 'dividend'")), "total")
-    ctx = _context(spark, d, total.select("cid", "date", "adj"))
+    ctx = _context(spark, d, total.select("cid", "date", "adj"), bars)
     sel = _reviews(ctx).select("strategy", "effective", "cid", "weight")
     hold = ix.start_holdings(total.select("cid", "date", "ret"), sel, ["strategy"])
     return rounded_columns(ix.held_jumps(total, hold, audited))
